@@ -54,17 +54,23 @@ def encode_text(enc: tiktoken.Encoding, text: str | None) -> list[int]:
     return [i for piece in safe_pieces(text) for i in enc.encode_ordinary(piece)]
 
 
+def _small(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, so that few texts and ids are Python objects at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every row; one pass, no shuffle."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_path, pattern)
-        for batch in batches:
-            ids = [np.asarray(encode_text(enc, t), np.int32) for t in batch.column(1).to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "ids"])
+        for whole in batches:
+            for batch in _small(whole):
+                ids = [np.asarray(encode_text(enc, t), np.int32) for t in batch.column(1).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], names=["id", "ids"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return out.mapInArrow(run, f"id {id_type}, ids array<int>").withColumnRenamed("id", id_col)
@@ -76,9 +82,12 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_path, pattern)
-        for batch in batches:
-            got = [enc.decode_bytes(x) if x else b"" for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary())], names=["id", "ids", "decoded"])
+        for whole in batches:
+            for batch in _small(whole):
+                rows = batch.column(1)
+                flat, ends = rows.values.to_numpy(), rows.offsets.to_numpy()
+                got = [enc.decode_bytes(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), rows, pa.array(got, pa.binary())], names=["id", "ids", "decoded"])
 
     out = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     return out.mapInArrow(run, f"id {id_type}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
