@@ -9,7 +9,7 @@ names a tile; a class stands in the tiles of its own band and, if it can have la
 there, of the next. So every linked pair meets in a tile, and nothing is capped.
 
 Inside the tiles no set of all pairs is made at first: each class is tried against the tile's
-smallest class. Components of the links found tell which tiles still hold several components,
+smallest and largest class. Components of the links found tell which tiles still hold several components,
 and only pairs across components are tried there. Bit counts of the difference of two
 parity bitmaps bound the overlap from above; what passes has its sorted arrays intersected.
 
@@ -180,18 +180,22 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     chosen = with_sets.join(one.withColumnRenamed("rep", "doc"), ["hi", "lo", "doc"]).dropDuplicates(["hi", "lo"])
     classes = materialise(chosen.select(F.monotonically_increasing_id().alias("uid"), F.col("doc").alias("rep"), "n", "hi", "lo", "bits", "tiles"), "classes")
     placed = classes.select("uid", F.explode("tiles").alias("tile"))
-    shared = placed.groupBy("tile").agg(F.min("uid").alias("first"), F.max("uid").alias("last")).where("first < last").select("tile", "first")
+    shared = placed.groupBy("tile").agg(F.min("uid").alias("first"), F.max("uid").alias("last")).where("first < last")
     members = materialise(placed.join(shared, "tile"), "tiles")
-    star = members.where("first < uid").select(F.col("first").alias("a"), F.col("uid").alias("b")).distinct()
+    star = members.where("first < uid").select(F.col("first").alias("a"), F.col("uid").alias("b"))
+    star = star.unionByName(members.where("uid < last").select(F.col("uid").alias("a"), F.col("last").alias("b"))).distinct()
     edges = materialise(linked(star, classes, docs, n, percent), "links")
     labels = components(edges)
     # Tiles in which several components remain: pairs across them.
     label = members.select("tile", "uid").join(labels, F.col("uid") == F.col("node"), "left").select("tile", "uid", F.coalesce("component", "uid").alias("c"))
     label = materialise(label, "labelled")
     mixed = label.groupBy("tile").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("tile")
-    open_ = label.join(mixed, "tile")
-    left, right = open_.select("tile", F.col("uid").alias("a"), F.col("c").alias("ca")), open_.select("tile", F.col("uid").alias("b"), F.col("c").alias("cb"))
-    across = left.join(right, "tile").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # The bitmaps' bound is part of the join, so pairs that it rules out are never rows.
+    open_ = label.join(mixed, "tile").join(classes.select("uid", "n", "bits"), "uid")
+    side = lambda s: open_.select("tile", F.col("uid").alias(s), F.col("c").alias(f"{s}_c"), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits"))
+    left, right = side("a"), side("b")
+    near = (left["tile"] == right["tile"]) & (left["a_c"] < right["b_c"]) & _bound(j)
+    across = left.join(right, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = materialise(linked(across.join(star, ["a", "b"], "left_anti"), classes, docs, n, percent), "links")
     if not rest.isEmpty():
         labels = components(edges.unionByName(rest))
