@@ -122,7 +122,8 @@ def calibrate(measures: DataFrame, labels: DataFrame, prefix: str = "_q_", risk:
     in which some rule is on."""
     p = prefix
     good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("best")).where("best = 1").select(F.col("doc_id").alias("good_id"))
-    used = measures.where(~F.col(f"{p}base_failed")).join(good, F.col("doc_id") == F.col("good_id"), "left_semi")
+    narrow = measures.select("doc_id", *[c for c in measures.columns if c.startswith(p)])
+    used = narrow.where(~F.col(f"{p}base_failed")).join(good, F.col("doc_id") == F.col("good_id"), "left_semi")
     over = [F.count_if(F.col(f"{p}{r}") > c).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(LADDER)]
     counted = used.groupBy(F.col(f"{p}stratum").alias("stratum")).agg(F.count("*").alias("n"), *over)
     tests = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cut"), F.col(f"{r}_{i}").alias("bad")) for r in RULES for i, c in enumerate(LADDER)]))
@@ -156,9 +157,11 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that no rule rejects."""
+    """The rows of docs, with all their columns, that no rule rejects.
+
+    The counts are written once beside the rows: a filter on them would otherwise repeat
+    their expressions at every use.
+    """
     p = free_prefix(docs.columns)
-    narrow = docs.select("doc_id", "lang", "text")
-    labelled = narrow.join(labels.where("quality = 1").select(F.col("doc_id").alias("_good")).distinct(), F.col("doc_id") == F.col("_good"), "left_semi")
-    cutoffs = materialise(calibrate(measured(labelled, p), labels, p), "cutoffs")
-    return judged(measured(docs, p), cutoffs, p).where(f"{p}kept").select(*docs.columns)
+    measures = materialise(measured(docs, p), "quality")
+    return judged(measures, calibrate(measures, labels, p), p).where(f"{p}kept").select(*docs.columns)
