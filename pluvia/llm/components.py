@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import materialise
+from pluvia.llm.common import materialise, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,6 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    held = labels
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
         met = labels.join(near, "node").select("node", "label", F.least("label", "seen").alias("low"))
@@ -27,6 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
         new = materialise(met.join(jump, "low", "left").select("node", "label", F.least("low", F.coalesce("far", "low")).alias("new")), "labels")
         changed = not new.where("new < label").isEmpty()
-        labels = new.select("node", F.col("new").alias("label"))
+        release(held)
+        held, labels = new, new.select("node", F.col("new").alias("label"))
         if not changed:
+            release(both)
             return labels.withColumnRenamed("label", "component")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import WordHashes, lower_words, materialise, mix64
+from pluvia.llm.common import WordHashes, lower_words, materialise, mix64, release
 from pluvia.llm.components import components
 
 #: 64-bit parts of a bitmap.
@@ -173,15 +173,20 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percen
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable) of every row."""
     j = percent / 100
-    marked = materialise(described(docs, n, j), "shingles")
-    with_sets = marked.where("n > 0")
+    described_ = materialise(described(docs, n, j), "shingles")
+    marked = materialise(described_.select("doc", "n", "hi", "lo"), "set-keys")
+    with_sets = described_.where("n > 0")
     one = with_sets.groupBy("hi", "lo").agg(F.min("doc").alias("rep"))
     # Exact copies end here: one row for each class, taken by a join with its smallest document.
     chosen = with_sets.join(one.withColumnRenamed("rep", "doc"), ["hi", "lo", "doc"]).dropDuplicates(["hi", "lo"])
-    classes = materialise(chosen.select(F.monotonically_increasing_id().alias("uid"), F.col("doc").alias("rep"), "n", "hi", "lo", "bits", "tiles"), "classes")
-    placed = classes.select("uid", F.explode("tiles").alias("tile"))
-    shared = placed.groupBy("tile").agg(F.min("uid").alias("first"), F.max("uid").alias("last")).where("first < last")
+    # Tiles are many: they are kept on their own, and only until the shared ones are known.
+    tiled = materialise(chosen.select(F.monotonically_increasing_id().alias("uid"), F.col("doc").alias("rep"), "n", "hi", "lo", "bits", "tiles"), "class-tiles")
+    release(described_)
+    classes = materialise(tiled.drop("tiles"), "classes")
+    placed = tiled.select("uid", F.explode("tiles").alias("tile"))
+    shared = materialise(placed.groupBy("tile").agg(F.min("uid").alias("first"), F.max("uid").alias("last")).where("first < last"), "shared-tiles")
     members = materialise(placed.join(shared, "tile"), "tiles")
+    release(tiled, shared)
     star = members.where("first < uid").select(F.col("first").alias("a"), F.col("uid").alias("b"))
     star = star.unionByName(members.where("uid < last").select(F.col("uid").alias("a"), F.col("last").alias("b"))).distinct()
     edges = materialise(linked(star, classes, docs, n, percent), "links")
