@@ -1 +1,3 @@
-"""See the README for what lives here."""
+"""Registered queries."""
+
+from pluvia.plans import registry, nowcasts  # noqa: F401, I001  (nowcasts adds to registry)
