@@ -36,6 +36,8 @@ from pluvia.llm.components import components
 #: 64-bit parts of a bitmap.
 PARTS = 8
 NO_ID = -(1 << 63)
+#: Shared tiles (8 bytes each) that are sent to every task at most; more are met in a shuffle.
+MOST_SENT = 500_000
 _PLACES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x2545F4914F6CDD1D))
 
 
@@ -173,20 +175,23 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percen
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable) of every row."""
     j = percent / 100
-    described_ = materialise(described(docs, n, j), "shingles")
+    described_ = materialise(described(docs, n, j).withColumn("uid", F.monotonically_increasing_id()), "shingles")
     marked = materialise(described_.select("doc", "n", "hi", "lo"), "set-keys")
     with_sets = described_.where("n > 0")
-    one = with_sets.groupBy("hi", "lo").agg(F.min("doc").alias("rep"))
-    # Exact copies end here: one row for each class, taken by a join with its smallest document.
-    chosen = with_sets.join(one.withColumnRenamed("rep", "doc"), ["hi", "lo", "doc"]).dropDuplicates(["hi", "lo"])
-    # Tiles are many: they are kept on their own, and only until the shared ones are known.
-    tiled = materialise(chosen.select(F.monotonically_increasing_id().alias("uid"), F.col("doc").alias("rep"), "n", "hi", "lo", "bits", "tiles"), "class-tiles")
-    release(described_)
-    classes = materialise(tiled.drop("tiles"), "classes")
-    placed = tiled.select("uid", F.explode("tiles").alias("tile"))
-    shared = materialise(placed.groupBy("tile").agg(F.min("uid").alias("first"), F.max("uid").alias("last")).where("first < last"), "shared-tiles")
-    members = materialise(placed.join(shared, "tile"), "tiles")
-    release(tiled, shared)
+    # Exact copies end here: the row of the smallest document stands for its class.
+    one = with_sets.groupBy("hi", "lo").agg(F.min(F.struct("doc", "uid", "n")).alias("at"))
+    chosen = one.select("at.uid", F.col("at.doc").alias("rep"), "at.n", "hi", "lo")
+    classes = materialise(chosen.join(with_sets.select("uid", "bits"), "uid"), "classes")
+    # Tiles are many and most hold one class: they are counted without their rows first, and
+    # copies, which have the same hi, do not make a tile shared.
+    placed = with_sets.select("uid", "hi", F.explode("tiles").alias("tile"))
+    shared = materialise(placed.groupBy("tile").agg(F.min("hi").alias("x"), F.max("hi").alias("y")).where("x < y").select("tile"), "shared-tiles")
+    side = F.broadcast(shared) if shared.count() <= MOST_SENT else shared
+    found = materialise(placed.select("uid", "tile").join(side, "tile").join(classes.select("uid"), "uid", "left_semi"), "tile-rows")
+    release(described_, shared)
+    ends = found.groupBy("tile").agg(F.min("uid").alias("first"), F.max("uid").alias("last")).where("first < last")
+    members = materialise(found.join(ends, "tile"), "tiles")
+    release(found)
     star = members.where("first < uid").select(F.col("first").alias("a"), F.col("uid").alias("b"))
     star = star.unionByName(members.where("uid < last").select(F.col("uid").alias("a"), F.col("last").alias("b"))).distinct()
     edges = materialise(linked(star, classes, docs, n, percent), "links")
