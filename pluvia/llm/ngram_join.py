@@ -1,12 +1,13 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact intersection.
 
 A document is the set of its word shingles, as sorted 64-bit hashes. Equal sets are one
-class. Two sets of Jaccard similarity J or more differ in at most
-k = floor((1 - J) / (1 + J) * (|a| + |b|)) shingles. Classes are laid out in bands of set size;
-a band's hash range is cut into k + 1 segments for the largest sizes in it, so a linked pair
-has a segment in which both hold exactly the same shingles. (band, segment, its content)
-names a tile; a class stands in the tiles of its own band and, if it can have larger partners
-there, of the next. So every linked pair meets in a tile, and nothing is capped.
+class. All shingles have one order: by how common they are, as a fixed number of counters over
+all texts tells, then by hash. Two sets of similarity J or more share one of the first
+n - ceil(J * n) + 1 shingles of each in any such order, and in this one the passages that many
+texts share come last. Classes are laid out in bands of set size. (band, shingle) names a tile;
+a class stands in the tiles of its own band and, if it can have larger partners there, of the
+next, with its first shingles. So every linked pair meets in a tile, and nothing is capped;
+the counters decide only how many others meet there.
 
 Inside the tiles no set of all pairs is made at first: each class is tried against the tile's
 smallest and largest class. Components of the links found tell which tiles still hold several components,
@@ -36,6 +37,9 @@ from pluvia.llm.components import components
 #: 64-bit parts of a bitmap.
 PARTS = 8
 NO_ID = -(1 << 63)
+#: Counters of shingles, a byte each in every task.
+BUCKETS = 1 << 20
+_BUCKET = np.uint64(BUCKETS - 1)
 #: Shared tiles (8 bytes each) that are sent to every task at most; more are met in a shuffle.
 MOST_SENT = 500_000
 _PLACES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x2545F4914F6CDD1D))
@@ -88,38 +92,63 @@ class Bands:
             b += 1
         return list(range(own, b + 1))
 
-    def segments(self, band: int) -> int:
-        top = self.edge[band + 1] - 1
-        return math.floor((1 - self.j) / (1 + self.j) * 2 * top + 1e-9) + 1
 
-
-def tiles(s: np.ndarray, bands: Bands) -> np.ndarray:
+def tiles(s: np.ndarray, bands: Bands, percent: int, level: np.ndarray) -> np.ndarray:
     """The hashed names of the tiles of a set."""
-    out = []
-    for band in bands.homes(len(s)):
-        m = bands.segments(band)
-        segment = (s >> np.uint64(11)) % np.uint64(m)
-        order = np.argsort(segment, kind="stable")
-        filled, starts = np.unique(segment[order], return_index=True)
-        # What a segment holds, as a sum of mixed hashes and its size; an empty one has sum 0.
-        name = np.zeros(m, np.uint64)
-        name[filled.astype(np.int64)] = np.add.reduceat(mix64(s[order] + np.uint64(0x51ED270B)), starts)
-        out.append(mix64(name + mix64(np.arange(m, dtype=np.uint64) + np.uint64(band << 40))))
-    return np.concatenate(out).view(np.int64)
-
-
-def described(docs: DataFrame, n: int, j: float) -> DataFrame:
-    """doc, n (set size), hi, lo (the set's key), bits, tiles of every row; one pass, no shuffle."""
+    first = len(s) + percent * len(s) // -100 + 1
+    order = np.argsort(level[(s & _BUCKET).astype(np.int64)], kind="stable")[:first]
+    chosen = s[order]
+    return np.concatenate([mix64(chosen + mix64(np.full(1, b + 1, np.uint64))) for b in bands.homes(len(s))]).view(np.int64)
+
+
+def commonness(docs: DataFrame, n: int) -> np.ndarray:
+    """For each of BUCKETS counters, log2 of how many shingles (counted once a text) fall there
+    beyond what is usual, 0 for most.
+
+    A task names only its counters that stand out against its own mean, so what is shuffled is
+    small; the driver gets one number for a counter, BUCKETS at most.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo, seen, waiting, held = WordHashes(), np.zeros(BUCKETS, np.int64), [], 0
+
+        def add() -> None:
+            if waiting:
+                seen[:] += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
+                waiting.clear()
+
+        for f in frames:
+            for text in f["text"]:
+                waiting.append((shingle_set(text, n, memo) & _BUCKET).astype(np.int64))
+                held += len(waiting[-1])
+                if held > 2 * BUCKETS:
+                    add()
+                    held = 0
+        add()
+        usual = seen.mean()
+        out = np.flatnonzero(seen > usual + 5 * usual**0.5 + 2)
+        yield pd.DataFrame({"bucket": out, "seen": seen[out]})
+
+    found = docs.select("text").mapInPandas(run, "bucket long, seen long").groupBy("bucket").agg(F.log2(F.sum("seen")).cast("int").alias("level")).toPandas()
+    level = np.zeros(BUCKETS, np.uint8)
+    level[found["bucket"].to_numpy(np.int64)] = found["level"].to_numpy(np.uint8)
+    return level
+
+
+def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc, n (set size), hi, lo (the set's key), bits, tiles of every row; a pass for the counters
+    and one for the rows, neither of which shuffles them."""
+    level = docs.sparkSession.sparkContext.broadcast(commonness(docs, n))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, bands = WordHashes(), Bands(j)
+        memo, bands = WordHashes(), Bands(percent / 100)
         for f in frames:
             out = []
             for doc, text in zip(f["doc"], f["text"], strict=True):
                 s = shingle_set(text, n, memo)
                 hi, lo = struct.unpack("<qq", set_key(s))
-                out.append((doc, len(s), hi, lo, bitmap(s) if len(s) else None, tiles(s, bands) if len(s) else None))
+                out.append((doc, len(s), hi, lo, bitmap(s) if len(s) else None, tiles(s, bands, percent, level.value) if len(s) else None))
             yield pd.DataFrame(out, columns=["doc", "n", "hi", "lo", "bits", "tiles"])
 
     return rows.mapInPandas(run, "doc long, n long, hi long, lo long, bits array<long>, tiles array<long>")
@@ -175,7 +204,7 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percen
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable) of every row."""
     j = percent / 100
-    described_ = materialise(described(docs, n, j).withColumn("uid", F.monotonically_increasing_id()), "shingles")
+    described_ = materialise(described(docs, n, percent).withColumn("uid", F.monotonically_increasing_id()), "shingles")
     marked = materialise(described_.select("doc", "n", "hi", "lo"), "set-keys")
     with_sets = described_.where("n > 0")
     # Exact copies end here: the row of the smallest document stands for its class.
