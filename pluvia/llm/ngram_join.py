@@ -9,8 +9,8 @@ a class stands in the tiles of its own band and, if it can have larger partners
 next, with its first shingles. So every linked pair meets in a tile, and nothing is capped;
 the counters decide only how many others meet there.
 
-Inside the tiles no set of all pairs is made at first: each class is tried against the tile's
-smallest and largest class. Components of the links found tell which tiles still hold several components,
+Inside the tiles no set of all pairs is made at first: each class's candidates are the tile's
+smallest and largest class, the nearest by the bitmaps first. Components of the links found tell which tiles still hold several components,
 and only pairs across components are tried there. Bit counts of the difference of two
 parity bitmaps bound the overlap from above; what passes has its sorted arrays intersected.
 
@@ -40,7 +40,8 @@ NO_ID = -(1 << 63)
 #: Counters of shingles, a byte each in every task.
 BUCKETS = 1 << 20
 _BUCKET = np.uint64(BUCKETS - 1)
-#: Shared tiles (8 bytes each) that are sent to every task at most; more are met in a shuffle.
+#: Shared tiles (8 bytes each) or names of sets (32 bytes each) that are sent to every task at
+#: most; more are met in a shuffle.
 MOST_SENT = 500_000
 _PLACES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x2545F4914F6CDD1D))
 
@@ -154,23 +155,40 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return rows.mapInPandas(run, "doc long, n long, hi long, lo long, bits array<long>, tiles array<long>")
 
 
+def _differ() -> Column:
+    """Places in which the bitmaps differ: the sets differ in as many members at least."""
+    return sum((F.bit_count(F.get("a_bits", F.lit(i)).bitwiseXOR(F.get("b_bits", F.lit(i)))) for i in range(PARTS)), F.lit(0))
+
+
 def _bound(j: float) -> Column:
-    """Whether the bitmaps still allow similarity j: the sets differ in at least d members."""
-    d = sum((F.bit_count(F.get("a_bits", F.lit(i)).bitwiseXOR(F.get("b_bits", F.lit(i)))) for i in range(PARTS)), F.lit(0))
-    both = (F.col("a_n") + F.col("b_n") - d) / 2
+    """Whether the bitmaps still allow similarity j."""
+    both = (F.col("a_n") + F.col("b_n") - _differ()) / 2
     return both * (1 + j) >= j * (F.col("a_n") + F.col("b_n")) - F.lit(1e-6)
 
 
-def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def possible(pairs: DataFrame, classes: DataFrame, j: float) -> DataFrame:
+    """The pairs (a, b) that the bitmaps leave, and gap, the differing places for each member."""
+    side = lambda s: classes.select(F.col("uid").alias(s), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits"))
+    gap = _differ() / (F.col("a_n") + F.col("b_n"))
+    return materialise(pairs.join(side("a"), "a").join(side("b"), "b").where(_bound(j)).select("a", "b", gap.alias("gap")), "maybe")
+
+
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are not in one component yet."""
+    side = lambda s: labels.select(F.col("node").alias(s), F.col("component").alias(f"{s}_c"))
+    known = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return known.where(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b")
+
+
+def linked(maybe: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of class ids whose similarity is at least percent / 100, exactly.
 
-    The sets are made again from the texts, and only for the classes that the bitmaps leave.
+    The sets are made again from the texts, and only for the classes that stand in a pair.
     """
-    j = percent / 100
-    side = lambda s: classes.select(F.col("uid").alias(s), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits"))
-    maybe = materialise(pairs.join(side("a"), "a").join(side("b"), "b").where(_bound(j)).select("a", "b"), "maybe")
     wanted = maybe.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    named = classes.join(wanted, "uid", "left_semi").select("uid", "rep", "hi", "lo")
+    named = materialise(classes.join(wanted, "uid", "left_semi").select("uid", "rep", "hi", "lo"), "wanted")
+    if named.count() <= MOST_SENT:
+        named = F.broadcast(named)
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     texts = docs.select(ids.alias("rep"), "text").join(named, "rep")
 
@@ -223,8 +241,16 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     release(found)
     star = members.where("first < uid").select(F.col("first").alias("a"), F.col("uid").alias("b"))
     star = star.unionByName(members.where("uid < last").select(F.col("uid").alias("a"), F.col("last").alias("b"))).distinct()
-    edges = materialise(linked(star, classes, docs, n, percent), "links")
+    # First each class with the nearest of its candidates by the bitmaps, then those of its
+    # candidates that this has not brought together with it.
+    maybe = possible(star, classes, j)
+    nearest = materialise(maybe.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("at")).select("at.a", "b"), "nearest")
+    edges = materialise(linked(nearest, classes, docs, n, percent), "links")
     labels = components(edges)
+    others = materialise(apart(maybe.join(nearest, ["a", "b"], "left_anti"), labels), "others")
+    if not others.isEmpty():
+        edges = edges.unionByName(materialise(linked(others, classes, docs, n, percent), "links"))
+        labels = components(edges)
     # Tiles in which several components remain: pairs across them.
     label = members.select("tile", "uid").join(labels, F.col("uid") == F.col("node"), "left").select("tile", "uid", F.coalesce("component", "uid").alias("c"))
     label = materialise(label, "labelled")
@@ -235,9 +261,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     left, right = side("a"), side("b")
     near = (left["tile"] == right["tile"]) & (left["a_c"] < right["b_c"]) & _bound(j)
     across = left.join(right, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialise(linked(across.join(star, ["a", "b"], "left_anti"), classes, docs, n, percent), "links")
-    if not rest.isEmpty():
-        labels = components(edges.unionByName(rest))
+    untried = materialise(across.join(maybe, ["a", "b"], "left_anti"), "untried")
+    if not untried.isEmpty():
+        labels = components(edges.unionByName(materialise(linked(untried, classes, docs, n, percent), "links")))
     of = classes.select("uid", "rep", "hi", "lo").join(labels, F.col("uid") == F.col("node"), "left").select("hi", "lo", "rep", F.coalesce("component", "uid").alias("c"))
     least = of.groupBy("c").agg(F.min("rep").alias("component"))
     named = materialise(of.join(least, "c").select("hi", "lo", "component"), "named")
