@@ -55,7 +55,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines and n_kept (lines with a word), text without the dropped lines."""
-    found = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    found = line_dedup.deduplicated(table(spark, sf_dir, "documents"), graded=True)
     return found.select("doc_id", F.col("_lines.n").alias("n_lines"), F.col("_lines.kept").alias("n_kept"), F.col("_lines.text").alias("text"))
 
 

@@ -390,5 +390,41 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.clean(empty).count() == 0
 
 
+def graded_reference(n):
+    """Edits allowed for the shorter of two lines, stated apart from the operator."""
+    return n // 20 if n >= 60 else 2 if n >= 30 else 1 if n >= 10 else 0
+
+
+def test_graded_keys_meet_and_distances_agree():
+    rng = random.Random(8)
+    for n in (10, 29, 30, 58, 59, 60, 61, 79, 80, 119, 198, 199, 200, 209, 210, 300, 419):
+        for _ in range(40):
+            a = "".join(rng.choice("abcdefgh ") for _ in range(n))
+            b = edited(rng, a, graded_reference(n) + 1)
+            if min(len(a), len(b)) < 10:
+                continue
+            tau = graded_reference(min(len(a), len(b)))
+            d = levenshtein(a, b)
+            assert line_dedup.near(a, b) == (d <= tau) and line_dedup.distance_at_most(a, b, 5) == (d <= 5)
+            if d <= tau:
+                of, _, key = line_dedup.graded_keys([a, b], 0, 1)
+                assert set(key[of == 0]) & set(key[of == 1])
+
+
+def test_line_dedup_grows_with_the_line(spark):
+    rng = random.Random(9)
+    pool = ["".join(rng.choice("abcdef ") for _ in range(n)) for n in (12, 25, 45, 59, 61, 80, 130, 199, 205, 300, 300, 450)]
+    rows = [(i, "\n".join(edited(rng, x := rng.choice(pool), rng.randrange(len(x) // 15 + 2)) for _ in range(3))) for i in range(60)]
+    firsts = {}
+    for doc, text in rows:
+        for i, line in enumerate(text.split("\n")):
+            if split(line):
+                firsts.setdefault(line, (doc, i))
+    close = lambda x, y: abs(len(x) - len(y)) <= (t := graded_reference(min(len(x), len(y)))) and levenshtein(x, y) <= t
+    kept = {at for line, at in firsts.items() if not any(o < at and close(line, x) for x, o in firsts.items())}
+    found = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), graded=True).collect()
+    assert {r["doc_id"]: r["_lines"]["kept"] for r in found} == {doc: sum((doc, i) in kept for i in range(3)) for doc, _ in rows}
+
+
 def test_nothing_is_left_outside_the_shared_folder(spark):
     assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
