@@ -122,12 +122,17 @@ def cli_recent_places(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("seen")))).where("place <= 3").drop("seen")
 
 
-def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """What the stream gives for all that is there now, through files in the shared folder."""
+def _scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one."""
     import tempfile
 
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pluvia-stream-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """What the stream gives for all that is there now, through files in the shared folder."""
+    at = _scratch(spark)
     stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
@@ -147,4 +152,4 @@ def stm_rain_state(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def stm_windowed_load(spark: SparkSession, d: str) -> DataFrame:
     e = _events_stream(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("source"), F.col("value").alias("weight"))
-    return _drained(spark, collector.windowed_load(e))
+    return collector.latest_rows(collector.windowed_load(e), ["start", "source"], _scratch(spark))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 #: Dry checks after which a region that had rain is given up; seconds without rain.
 DRY_CHECKS = 2
@@ -17,10 +18,39 @@ OUT = "region int, t long, rainy boolean, last_rain long, dry int, given_up bool
 
 
 def windowed_load(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Requests and their weight for each source and window; state ends behind the watermark."""
+    """Requests and their weight for each source and window; state ends behind the watermark.
+
+    In append mode windows that end later than the newest event less `late` are not given yet;
+    latest_rows has every window.
+    """
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "source").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).select(F.col("w.start").alias("start"), "source", "n", "weight")
 
 
+def latest_rows(stream: DataFrame, keys: list[str], base: str) -> DataFrame:
+    """The newest row of each key of a stream in update mode, drained of all that is there now.
+
+    Each batch's rows are written with its number under base, over what a failed try left.
+    """
+    path, schema = f"{base}/updates", stream.schema
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{_ddl(schema)}, batch long").parquet(path)
+    values = [f.name for f in schema if f.name not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return newest.select(*[F.col(f"_v.{f.name}").alias(f.name) if f.name in values else F.col(f.name) for f in schema])
+
+
+def _ddl(schema: StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+
 def rain_state(frames: DataFrame) -> DataFrame:
     """frames (region, t, rainy) -> a row a frame: when it last rained, dry checks since, and
     whether the region is given up. State is two numbers a region; late frames change nothing."""

@@ -3,9 +3,11 @@
 import json
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from pluvia.functions import text
 from pluvia.operators import cells, nowcast
+from pluvia.plans import registry
 from pluvia.sources import files
 from pluvia.streaming import collector
 
@@ -57,3 +59,22 @@ def test_text_and_series_edges(spark):
     r = nowcast.summary(s, ["id"]).first()
     assert (r["arrival"], r["heavy_arrival"], r["raining_now"]) == (1, 1, False)
     assert nowcast.summary(s.limit(0), ["id"]).count() == 0
+
+
+def test_windowed_load_has_every_window(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    at = pd.to_datetime([f"2024-01-01 {h:02}:{m:02}:00" for h, m in ((0, 5), (1, 10), (1, 50), (2, 30), (1, 40), (2, 59))])
+    for name, part in (("a", slice(0, 4)), ("b", slice(4, 6))):
+        pd.DataFrame({"ts": at[part].astype("datetime64[us]"), "source": "s", "weight": 1.5}).to_parquet(tmp_path / f"in/{name}.parquet")
+    stream = spark.readStream.schema("ts timestamp, source string, weight double").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    rows = collector.latest_rows(collector.windowed_load(stream), ["start", "source"], f"file://{tmp_path}/s").collect()
+    assert sorted((r["start"].hour, r["n"], r["weight"]) for r in rows) == [(0, 1, 1.5), (1, 3, 4.5), (2, 2, 3.0)]
+
+
+def test_registered_windowed_load_equals_a_group_by(spark):
+    directory = "/root/testdata/sf0.001"
+    got = registry.QUERIES["stm_windowed_load"](spark, directory)
+    e = spark.read.parquet(f"{directory}/events.parquet")
+    want = e.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("start"), F.col("event_type").alias("source")).agg(F.count("*").alias("n"), F.sum("value").alias("weight"))
+    plain = lambda rows: sorted((r["start"], r["source"], r["n"], round(r["weight"], 6)) for r in rows)
+    assert plain(got.collect()) == plain(want.collect())
