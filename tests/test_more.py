@@ -78,3 +78,12 @@ def test_registered_windowed_load_equals_a_group_by(spark):
     want = e.groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("start"), F.col("event_type").alias("source")).agg(F.count("*").alias("n"), F.sum("value").alias("weight"))
     plain = lambda rows: sorted((r["start"], r["source"], r["n"], round(r["weight"], 6)) for r in rows)
     assert plain(got.collect()) == plain(want.collect())
+
+
+def test_lag_and_insert_take_every_event(spark):
+    directory = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{directory}/events.parquet")
+    assert registry.QUERIES["pip_publish_lag_all"](spark, directory).count() == events.count()
+    rest = {r["k"]: r["id"] for r in events.where("event_id % 3 <> 0").groupBy((F.col("user_id") % 70).alias("k")).agg(F.min("event_id").alias("id")).collect()}
+    there = {r["k"]: r["id"] for r in events.where("event_id % 3 = 0").groupBy((F.col("user_id") % 50).alias("k")).agg(F.min("event_id").alias("id")).collect()}
+    assert {r["k"]: r["id"] for r in registry.QUERIES["snk_insert_if_absent_all"](spark, directory).collect()} == rest | there
