@@ -5,12 +5,16 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -77,21 +81,32 @@ def stable_long(*parts: Column | str, seed: str = "") -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *cols)), 1, 15), 16, 10).cast("long")
 
 
-class WordHashes(dict):
-    """Memo of the 64-bit hash of each word (bytes); emptied at its bound, so memory is too."""
-
-    def __init__(self, bound: int = 400_000):
-        super().__init__()
-        self.bound = bound
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+def small(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, so that little of it is unpacked at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (A-Z lowered, cut at SPACE), one after another, as bytes, and the
+    place where each text's begin (and the end); null texts have none."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy()
+    flat = split.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)  # a space at an end leaves an empty word
+    ends = np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)
+    bounds = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return flat.filter(full).cast(pa.binary()), np.concatenate([[0], ends])[bounds]
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where each text's begin; a word that occurs
+    often is hashed once."""
+    words_, bounds = split_words(texts)
+    coded = words_.dictionary_encode()
+    known = coded.dictionary.to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+    return hashes[coded.indices.to_numpy()] if len(known) else np.empty(0, np.uint64), bounds
 
 
 def lower_words(text: str | None) -> list[bytes]:

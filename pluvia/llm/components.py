@@ -16,11 +16,11 @@ from pluvia.llm.common import materialise, release
 def components(edges: DataFrame) -> DataFrame:
     """edges (a long, b long) -> (node, component): the smallest node it reaches.
 
-    Nodes without edges are not listed; loops and repeated edges do no harm.
+    Nodes without edges are not listed; loops and repeated edges do no harm. The result's
+    attribute scratch is what `release` takes.
     """
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
-    held = labels
+    labels = held = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
         met = labels.join(near, "node").select("node", "label", F.least("label", "seen").alias("low"))
@@ -32,4 +32,6 @@ def components(edges: DataFrame) -> DataFrame:
         held, labels = new, new.select("node", F.col("new").alias("label"))
         if not changed:
             release(both)
-            return labels.withColumnRenamed("label", "component")
+            out = labels.withColumnRenamed("label", "component")
+            out.scratch = held
+            return out

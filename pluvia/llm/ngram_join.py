@@ -10,9 +10,12 @@ next, with its first shingles. So every linked pair meets in a tile, and nothing
 the counters decide only how many others meet there.
 
 Inside the tiles no set of all pairs is made at first: each class's candidates are the tile's
-smallest and largest class, the nearest by the bitmaps first. Components of the links found tell which tiles still hold several components,
-and only pairs across components are tried there. Bit counts of the difference of two
-parity bitmaps bound the overlap from above; what passes has its sorted arrays intersected.
+smallest and largest class, of which the nearest by the bitmaps is tried. Components of the
+links found tell which tiles still hold several components, and only pairs across components
+are tried there. Bit counts of the difference of two parity bitmaps bound the overlap from
+above: a bitmap of FIXED parts, which generated code compares inside the tile join, and for
+larger sets one that is as wide as the set is large. What passes has its sorted arrays
+intersected.
 
 Defined results: words are cut at ASCII white space and A-Z lowered; a text of fewer words
 than a shingle is one shingle; null or blank texts have an empty set and link with nothing;
@@ -26,16 +29,16 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import WordHashes, lower_words, materialise, mix64, release
+from pluvia.llm.common import materialise, mix64, release, small, word_hashes
 from pluvia.llm.components import components
 
-#: 64-bit parts of a bitmap.
-PARTS = 8
+#: 64-bit parts of the bitmap that all sets have.
+FIXED = 8
 NO_ID = -(1 << 63)
 #: Counters of shingles, a byte each in every task.
 BUCKETS = 1 << 20
@@ -43,32 +46,47 @@ _BUCKET = np.uint64(BUCKETS - 1)
 #: Shared tiles (8 bytes each) or names of sets (32 bytes each) that are sent to every task at
 #: most; more are met in a shuffle.
 MOST_SENT = 500_000
-_PLACES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x2545F4914F6CDD1D))
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(text: str | None, n: int, memo: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the n-word shingles."""
-    tokens = lower_words(text)
-    if not tokens:
-        return np.empty(0, np.uint64)
-    h = memo.of(tokens)
-    span = min(n, len(h))
+def _rolled(h: np.ndarray, span: int) -> np.ndarray:
     got = np.full(len(h) - span + 1, span, np.uint64)
     for j in range(span):
-        got = got * _PLACES[0] + mix64(h[j : len(h) - span + 1 + j] + _PLACES[j % 6])
-    return np.unique(mix64(got))
+        got *= _MULTIPLIER
+        got += h[j : len(h) - span + 1 + j]
+    return mix64(got)
+
+
+def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its n-word shingles."""
+    h, bounds = word_hashes(texts)
+    rolled = _rolled(h, n) if len(h) >= n else None
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b - a >= n:
+            s = np.sort(rolled[a : b - n + 1])
+            s = s[np.concatenate([[True], s[1:] != s[:-1]])]
+        else:
+            s = _rolled(h[a:b], b - a) if b > a else np.empty(0, np.uint64)
+        out.append(s)
+    return out
+
+
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(s.tobytes()))
 
 
-def set_key(s: np.ndarray) -> bytes:
-    """128 bits that name a set."""
-    return xxhash.xxh3_128_digest(s.tobytes())
+def bitmap(s: np.ndarray, parts: int = FIXED) -> np.ndarray:
+    """Parity of the shingles at each of parts * 64 places: two bitmaps differ in no more
+    places than the sets do in members. The halves of one, XORed, are that of half the parts."""
+    odd = (np.bincount((s % np.uint64(parts * 64)).astype(np.int64), minlength=parts * 64) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the shingles at each of PARTS * 64 places: two bitmaps differ in no more
-    places than the sets do in members."""
-    odd = (np.bincount((s % np.uint64(PARTS * 64)).astype(np.int64), minlength=PARTS * 64) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64)
+def wide_parts(n: int) -> int:
+    """Parts of the bitmap of a set of n: a power of two that gives each member a place."""
+    return max(FIXED, 1 << (max(1, -(-n // 64)) - 1).bit_length())
 
 
 class Bands:
@@ -110,172 +128,205 @@ def commonness(docs: DataFrame, n: int) -> np.ndarray:
     small; the driver gets one number for a counter, BUCKETS at most.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, seen, waiting, held = WordHashes(), np.zeros(BUCKETS, np.int64), [], 0
-
-        def add() -> None:
-            if waiting:
-                seen[:] += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
-                waiting.clear()
-
-        for f in frames:
-            for text in f["text"]:
-                waiting.append((shingle_set(text, n, memo) & _BUCKET).astype(np.int64))
-                held += len(waiting[-1])
-                if held > 2 * BUCKETS:
-                    add()
-                    held = 0
-        add()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS, np.int64)
+        for whole in batches:
+            for batch in small(whole, 2048):
+                got = np.concatenate(shingle_sets(batch.column(0), n))
+                seen += np.bincount((got & _BUCKET).astype(np.int64), minlength=BUCKETS)
         usual = seen.mean()
         out = np.flatnonzero(seen > usual + 5 * usual**0.5 + 2)
-        yield pd.DataFrame({"bucket": out, "seen": seen[out]})
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(seen[out])], names=["bucket", "seen"])
 
-    found = docs.select("text").mapInPandas(run, "bucket long, seen long").groupBy("bucket").agg(F.log2(F.sum("seen")).cast("int").alias("level")).toPandas()
+    found = docs.select("text").mapInArrow(run, "bucket long, seen long").groupBy("bucket").agg(F.log2(F.sum("seen")).cast("int").alias("level")).toPandas()
     level = np.zeros(BUCKETS, np.uint8)
     level[found["bucket"].to_numpy(np.int64)] = found["level"].to_numpy(np.uint8)
     return level
 
 
+_SIGNATURE = "struct<n:long,hi:long,lo:long,bits:array<long>,wide:array<long>,tiles:array<long>>"
+
+
 def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc, n (set size), hi, lo (the set's key), bits, tiles of every row; a pass for the counters
-    and one for the rows, neither of which shuffles them."""
+    """docs with a column _set: n (set size), hi, lo (the set's key), bits, wide (for sets of more
+    members than bits has places), tiles; a pass for the counters and one for the rows, neither of
+    which shuffles them. Written once, with a column _row that numbers the rows."""
     level = docs.sparkSession.sparkContext.broadcast(commonness(docs, n))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, bands = WordHashes(), Bands(percent / 100)
-        for f in frames:
-            out = []
-            for doc, text in zip(f["doc"], f["text"], strict=True):
-                s = shingle_set(text, n, memo)
-                hi, lo = struct.unpack("<qq", set_key(s))
-                out.append((doc, len(s), hi, lo, bitmap(s) if len(s) else None, tiles(s, bands, percent, level.value) if len(s) else None))
-            yield pd.DataFrame(out, columns=["doc", "n", "hi", "lo", "bits", "tiles"])
+    def signed(texts: pa.Array) -> pa.Array:
+        bands, columns = Bands(percent / 100), [[] for _ in range(6)]
+        for at in range(0, len(texts), 2048):
+            for s in shingle_sets(texts[at : at + 2048], n):
+                parts = wide_parts(len(s))
+                row = (len(s), *set_key(s), bitmap(s) if len(s) else None, bitmap(s, parts) if parts > FIXED else None, tiles(s, bands, percent, level.value) if len(s) else None)
+                for c, v in zip(columns, row, strict=True):
+                    c.append(v)
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["n", "hi", "lo", "bits", "wide", "tiles"])
 
-    return rows.mapInPandas(run, "doc long, n long, hi long, lo long, bits array<long>, tiles array<long>")
+    signature = F.arrow_udf(signed, _SIGNATURE)
+    return materialise(docs.withColumns({"_set": signature("text"), "_row": F.monotonically_increasing_id()}), "shingles")
 
 
 def _differ() -> Column:
     """Places in which the bitmaps differ: the sets differ in as many members at least."""
-    return sum((F.bit_count(F.get("a_bits", F.lit(i)).bitwiseXOR(F.get("b_bits", F.lit(i)))) for i in range(PARTS)), F.lit(0))
+    return sum((F.bit_count(F.get("a_bits", F.lit(i)).bitwiseXOR(F.get("b_bits", F.lit(i)))) for i in range(FIXED)), F.lit(0))
+
+
+def _differ_wide() -> Column:
+    """The same by the wide bitmaps, where both have one; linked sets' differ in width by one
+    halving at most."""
+    a, b = F.col("a_wide"), F.col("b_wide")
+    half = lambda x: F.zip_with(F.slice(x, 1, F.floor(F.size(x) / 2).cast("int")), F.slice(x, F.floor(F.size(x) / 2).cast("int") + 1, F.size(x)), lambda p, q: p.bitwiseXOR(q))
+    differing = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    return (
+        F.when(a.isNull() | b.isNull(), F.lit(0))
+        .when(F.size(a) == F.size(b), differing(a, b))
+        .when(F.size(a) == 2 * F.size(b), differing(half(a), b))
+        .when(F.size(b) == 2 * F.size(a), differing(a, half(b)))
+        .otherwise(F.lit(0))
+    )
+
+
+def _allows(differ: Column, j: float) -> Column:
+    """Whether so many differing places still allow similarity j."""
+    both = (F.col("a_n") + F.col("b_n") - differ) / 2
+    return both * (1 + j) >= j * (F.col("a_n") + F.col("b_n")) - F.lit(1e-6)
 
 
 def _bound(j: float) -> Column:
-    """Whether the bitmaps still allow similarity j."""
-    both = (F.col("a_n") + F.col("b_n") - _differ()) / 2
-    return both * (1 + j) >= j * (F.col("a_n") + F.col("b_n")) - F.lit(1e-6)
+    return _allows(_differ(), j) & _allows(_differ_wide(), j)
 
 
-def possible(pairs: DataFrame, classes: DataFrame, j: float) -> DataFrame:
-    """The pairs (a, b) that the bitmaps leave, and gap, the differing places for each member."""
-    side = lambda s: classes.select(F.col("uid").alias(s), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits"))
-    gap = _differ() / (F.col("a_n") + F.col("b_n"))
-    return materialise(pairs.join(side("a"), "a").join(side("b"), "b").where(_bound(j)).select("a", "b", gap.alias("gap")), "maybe")
+def _side(classes: DataFrame, s: str, *more: str) -> DataFrame:
+    return classes.select(F.col("uid").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "bits", "wide", *more)])
 
 
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends are not in one component yet."""
-    side = lambda s: labels.select(F.col("node").alias(s), F.col("component").alias(f"{s}_c"))
-    known = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return known.where(F.coalesce("a_c", "a") != F.coalesce("b_c", "b")).select("a", "b")
+def possible(pairs: DataFrame, classes: DataFrame, j: float) -> DataFrame:
+    """The pairs (a, b) that the bitmaps leave, and gap, the differing places for each member."""
+    gap = F.greatest(_differ(), _differ_wide()) / (F.col("a_n") + F.col("b_n"))
+    return materialise(pairs.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").where(_bound(j)).select("a", "b", gap.alias("gap")), "maybe")
 
 
-def linked(maybe: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def linked(maybe: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of class ids whose similarity is at least percent / 100, exactly.
 
-    The sets are made again from the texts, and only for the classes that stand in a pair.
+    The sets are made again from the texts, and only for the classes that stand in a pair (a
+    class is named by one of its rows).
     """
-    wanted = maybe.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    named = materialise(classes.join(wanted, "uid", "left_semi").select("uid", "rep", "hi", "lo"), "wanted")
-    if named.count() <= MOST_SENT:
-        named = F.broadcast(named)
-    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    texts = docs.select(ids.alias("rep"), "text").join(named, "rep")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = WordHashes()
-        for f in frames:
-            out = []
-            for uid, hi, lo, text in zip(f["uid"], f["hi"], f["lo"], f["text"], strict=True):
-                s = shingle_set(text, n, memo)
-                if struct.unpack("<qq", set_key(s)) == (hi, lo):  # another row may have the same id
-                    out.append((uid, s.view(np.int64)))
-            yield pd.DataFrame(out, columns=["uid", "members"])
-
-    sets = materialise(texts.mapInPandas(run, "uid long, members array<long>"), "sets").dropDuplicates(["uid"])
-
-    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            keep = []
-            for x, y in zip(f["x"], f["y"], strict=True):
-                x, y = x.view(np.uint64), y.view(np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield f.loc[np.asarray(keep, bool), ["a", "b"]]
-
-    paired = maybe.join(sets.select(F.col("uid").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("members").alias("y")), "b")
-    return paired.mapInPandas(check, "a long, b long")
-
-
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable) of every row."""
+    named = materialise(maybe.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "wanted")
+    texts = rows.select("_row", "text").join(F.broadcast(named) if named.count() <= MOST_SENT else named, "_row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in small(whole):
+                sets = shingle_sets(batch.column(1), n)
+                members = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), members], names=["uid", "members"])
+
+    sets = materialise(texts.mapInArrow(run, "uid long, members array<long>"), "sets")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in small(whole, 256):
+                left, right = batch.column(2), batch.column(3)
+                keep = []
+                for i in range(batch.num_rows):
+                    x, y = (c[i].values.to_numpy().view(np.uint64) for c in (left, right))
+                    short, long_ = (x, y) if len(x) <= len(y) else (y, x)
+                    at = np.searchsorted(long_, short)
+                    both = int((long_[np.minimum(at, len(long_) - 1)] == short).sum())
+                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda u, m: sets.select(F.col("uid").alias(u), F.col("members").alias(m))
+    paired = maybe.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    out = materialise(paired.mapInArrow(check, "a long, b long"), "links")
+    release(named, sets)
+    return out
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """uid (the row that stands for it), rep (its smallest doc, NO_ID for null), n, hi, lo, bits, wide
+    of every distinct set that is not empty: exact copies end here."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    full = rows.where("_set.n > 0")
+    one = full.select("_set.hi", "_set.lo", doc.alias("doc"), F.col("_row").alias("uid")).groupBy("hi", "lo").agg(F.min(F.struct("doc", "uid")).alias("at"))
+    chosen = one.select("at.uid", F.col("at.doc").alias("rep"), "hi", "lo")
+    return materialise(chosen.join(full.select(F.col("_row").alias("uid"), "_set.n", "_set.bits", "_set.wide"), "uid"), "classes")
+
+
+def class_components(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """hi, lo, rep, c (the component's name) of every class; rows: what described gave."""
     j = percent / 100
-    described_ = materialise(described(docs, n, percent).withColumn("uid", F.monotonically_increasing_id()), "shingles")
-    marked = materialise(described_.select("doc", "n", "hi", "lo"), "set-keys")
-    with_sets = described_.where("n > 0")
-    # Exact copies end here: the row of the smallest document stands for its class.
-    one = with_sets.groupBy("hi", "lo").agg(F.min(F.struct("doc", "uid", "n")).alias("at"))
-    chosen = one.select("at.uid", F.col("at.doc").alias("rep"), "at.n", "hi", "lo")
-    classes = materialise(chosen.join(with_sets.select("uid", "bits"), "uid"), "classes")
+    classes = classes_of(rows)
     # Tiles are many and most hold one class: they are counted without their rows first, and
     # copies, which have the same hi, do not make a tile shared.
-    placed = with_sets.select("uid", "hi", F.explode("tiles").alias("tile"))
+    placed = rows.where("_set.n > 0").select(F.col("_row").alias("uid"), "_set.hi", F.explode("_set.tiles").alias("tile"))
     shared = materialise(placed.groupBy("tile").agg(F.min("hi").alias("x"), F.max("hi").alias("y")).where("x < y").select("tile"), "shared-tiles")
     side = F.broadcast(shared) if shared.count() <= MOST_SENT else shared
     found = materialise(placed.select("uid", "tile").join(side, "tile").join(classes.select("uid"), "uid", "left_semi"), "tile-rows")
-    release(described_, shared)
+    release(shared)
     ends = found.groupBy("tile").agg(F.min("uid").alias("first"), F.max("uid").alias("last")).where("first < last")
     members = materialise(found.join(ends, "tile"), "tiles")
     release(found)
     star = members.where("first < uid").select(F.col("first").alias("a"), F.col("uid").alias("b"))
     star = star.unionByName(members.where("uid < last").select(F.col("uid").alias("a"), F.col("last").alias("b"))).distinct()
-    # First each class with the nearest of its candidates by the bitmaps, then those of its
-    # candidates that this has not brought together with it.
+    # First each class with the nearest of its candidates by the bitmaps.
     maybe = possible(star, classes, j)
     nearest = materialise(maybe.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("at")).select("at.a", "b"), "nearest")
-    edges = materialise(linked(nearest, classes, docs, n, percent), "links")
+    release(maybe)
+    edges = linked(nearest, rows, n, percent)
     labels = components(edges)
-    others = materialise(apart(maybe.join(nearest, ["a", "b"], "left_anti"), labels), "others")
-    if not others.isEmpty():
-        edges = edges.unionByName(materialise(linked(others, classes, docs, n, percent), "links"))
-        labels = components(edges)
-    # Tiles in which several components remain: pairs across them.
+    # Then the tiles in which several components remain: pairs across them.
     label = members.select("tile", "uid").join(labels, F.col("uid") == F.col("node"), "left").select("tile", "uid", F.coalesce("component", "uid").alias("c"))
     label = materialise(label, "labelled")
     mixed = label.groupBy("tile").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("tile")
     # The bitmaps' bound is part of the join, so pairs that it rules out are never rows.
-    open_ = label.join(mixed, "tile").join(classes.select("uid", "n", "bits"), "uid")
-    side = lambda s: open_.select("tile", F.col("uid").alias(s), F.col("c").alias(f"{s}_c"), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits"))
-    left, right = side("a"), side("b")
-    near = (left["tile"] == right["tile"]) & (left["a_c"] < right["b_c"]) & _bound(j)
+    open_ = label.join(mixed, "tile").join(classes.select("uid", "n", "bits", "wide"), "uid")
+    left, right = _side(open_, "a", "tile", "c"), _side(open_, "b", "tile", "c")
+    near = (left["a_tile"] == right["b_tile"]) & (left["a_c"] < right["b_c"]) & _bound(j)
     across = left.join(right, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    untried = materialise(across.join(maybe, ["a", "b"], "left_anti"), "untried")
+    untried = materialise(across.join(nearest, ["a", "b"], "left_anti"), "untried")
+    release(members, label, nearest)
     if not untried.isEmpty():
-        labels = components(edges.unionByName(materialise(linked(untried, classes, docs, n, percent), "links")))
-    of = classes.select("uid", "rep", "hi", "lo").join(labels, F.col("uid") == F.col("node"), "left").select("hi", "lo", "rep", F.coalesce("component", "uid").alias("c"))
+        more = linked(untried, rows, n, percent)
+        release(labels.scratch)
+        labels = components(edges.unionByName(more))
+        release(more)
+    out = materialise(classes.select("uid", "rep", "hi", "lo").join(labels, F.col("uid") == F.col("node"), "left").select("hi", "lo", "rep", F.coalesce("component", "uid").alias("c")), "class-components")
+    release(classes, untried, edges, labels.scratch)
+    return out
+
+
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable) of every row."""
+    rows = described(docs.select("doc_id", "text"), n, percent)
+    of = class_components(rows, n, percent)
     least = of.groupBy("c").agg(F.min("rep").alias("component"))
     named = materialise(of.join(least, "c").select("hi", "lo", "component"), "named")
-    out = marked.select("doc", "n", "hi", "lo").join(named, ["hi", "lo"], "left")
+    release(of)
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    out = rows.select(doc.alias("doc"), "_set.n", "_set.hi", "_set.lo").join(named, ["hi", "lo"], "left")
     back = lambda c: F.when(c != NO_ID, c)
     return out.select(back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("component", "doc")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; of rows that share
-    that id, as of exact repeats, one stays."""
-    found = jaccard_components(docs, n, percent)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """One row of docs for each component, of its smallest doc_id (null ids last); every row
+    without words stays, as it is near nothing."""
+    # The other columns travel in one, so no name of theirs clashes.
+    others = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    others = others.dropFields(*[f"c{docs.columns.index(c)}" for c in ("doc_id", "text")])
+    rows = described(docs.select("doc_id", "text", others.alias("_others")), n, percent)
+    of = class_components(rows, n, percent)
+    # Of a component that class whose smallest document is the smallest, and of its rows the first.
+    last = F.when(F.col("rep") == NO_ID, 1).otherwise(0)
+    best = of.groupBy("c").agg(F.min(F.struct(last.alias("none"), "rep", "hi", "lo")).alias("at")).select("at.rep", "at.hi", "at.lo")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    keys = rows.where("_set.n > 0").select(doc.alias("rep"), "_set.hi", "_set.lo", "_row")
+    first = keys.join(best, ["rep", "hi", "lo"]).groupBy("rep", "hi", "lo").agg(F.min("_row").alias("_row"))
+    keep = materialise(first.select("_row").unionByName(rows.where("_set.n = 0").select("_row")), "kept-rows")
+    release(of)
+    kept = rows.join(F.broadcast(keep) if keep.count() <= MOST_SENT else keep, "_row", "left_semi")
+    return kept.select(*[F.col(c if c in ("doc_id", "text") else f"_others.c{i}").alias(c) for i, c in enumerate(docs.columns)])

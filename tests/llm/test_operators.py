@@ -297,6 +297,22 @@ def test_ngram_join(spark, docs, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
     kept = ngram_join.one_of_each(docs)
     assert kept.columns == docs.columns and kept.where("doc_id IS NULL").count() == 1
+    # Rows of one id: unrelated texts stay, a repeat goes; columns may be called what they like.
+    one = spark.createDataFrame([(1, "a b c d e f g", 5), (1, "h i j k l m n", 6), (1, "a b c d e f g", 7), (2, "A b c d e f g", 8), (3, " ", 9)], "doc_id long, text string, _row int")
+    kept = ngram_join.one_of_each(one)
+    assert kept.columns == one.columns and sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, "a b c d e f g"), (1, "h i j k l m n"), (3, " ")]
+
+
+def test_ngram_join_takes_a_hot_passage(spark):
+    """Copies of one passage with changed words, and texts that hold it between words of their own."""
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(80)]
+    texts = [" ".join([f"e{i}" if rng.random() < 0.02 else w for i, w in enumerate(passage)]) for _ in range(250)]
+    texts += [" ".join([*[f"o{rng.randrange(10**6)}" for _ in range(60)], *passage]) for _ in range(150)]
+    rows = list(enumerate(texts))
+    sets, root = brute_components(rows, 3, 90)
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert {tuple(r) for r in got} == {(i, len(sets[i]), root[i]) for i, _ in rows}
 
 
 def test_every_linked_pair_shares_a_tile():
@@ -311,8 +327,10 @@ def test_every_linked_pair_shares_a_tile():
         both = len(np.intersect1d(a, b))
         if len(b) and 100 * both >= 90 * (len(a) + len(b) - both):
             assert tiles(a) & tiles(b)
-            x, y = ngram_join.bitmap(a), ngram_join.bitmap(b)
-            assert np.unpackbits((x ^ y).view(np.uint8)).sum() <= len(a) + len(b) - 2 * both
+            for parts in (8, 16):
+                x, y = ngram_join.bitmap(a, parts), ngram_join.bitmap(b, parts)
+                assert np.bitwise_count(x ^ y).sum() <= len(a) + len(b) - 2 * both
+            assert (x[:8] ^ x[8:] == ngram_join.bitmap(a)).all()
 
 
 def test_sharding(spark, docs, empty, rows):
