@@ -22,7 +22,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pluvia.llm.common import shared_dir, width
+from pluvia.llm.common import materialise, remove, shared_dir, width
 
 BLOCK = 4096
 #: A chunk is closed once it holds so many ids.
 CHUNK = 1 << 17
+#: Documents encoded together.
+TOGETHER = 64
 INDEX = "shard int, chunk int, first long, n_ids long, doc_ids array<long>, lengths array<long>"
 
 #: A run of spaces and newlines with what follows: no match of the pre-tokenizer crosses
@@ -47,31 +48,69 @@ _ODD = re.compile(r"[^\S \n]")
 
 
 class FileTokenizer:
-    """The tokenizers library with a bounded memo of what it gave for words seen before."""
+    """The tokenizers library with a memo of the ids (as bytes) of units seen before.
 
-    def __init__(self, path: str, bound: int = 400_000):
+    The memo has two generations of at most `bound` units of at most LONGEST code points, which
+    bounds its bytes. A unit that is met again moves to the younger one; when that is full it
+    becomes the older one, whose units are forgotten, so frequent units stay. Units not in it are
+    encoded many in a call, one behind the other, and told apart by the bytes that ids stand for.
+    """
+
+    LONGEST = 48
+    #: Units encoded as one text.
+    RUN = 200
+
+    def __init__(self, path: str, bound: int = 150_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo: dict[str, list[int]] = {}
+        size = self.library.get_vocab_size()
+        #: Bytes that each id stands for: a character each in a byte-level vocabulary.
+        self.bytes = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], np.int64)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.bound = bound
 
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _fresh(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of units that the memo lacks."""
+        # Only units between white space and what is none can stand in a run.
+        inner = [u for u in units if u[0] in " \n" and u[-1] not in " \n"]
+        found = {u: self._whole(u) for u in units if u[0] not in " \n" or u[-1] in " \n"}
+        runs = [inner[i : i + self.RUN] for i in range(0, len(inner), self.RUN)]
+        for run, e in zip(runs, self.library.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            ends = np.cumsum([len(u.encode("utf-8")) for u in run])
+            cuts = [0, *(np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1).tolist()]
+            raw = ids.tobytes()
+            found |= {u: raw[4 * a : 4 * b] for u, a, b in zip(run, cuts[:-1], cuts[1:], strict=True)}
+        return found
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        cut = [None if _ODD.search(t) or "<|" in t else _UNIT.findall(t) for t in texts]
+        young, old, more = self.young, self.old, []
+        for u in {u for units in cut if units for u in units}.difference(young):
+            if (known := old.get(u)) is None:
+                more.append(u)
+            else:
+                young[u] = known
+        here = self._fresh(more)
+        young.update((u, ids) for u, ids in here.items() if len(u) <= self.LONGEST)
+        long_ = {u: ids for u, ids in here.items() if len(u) > self.LONGEST}
+        of = (lambda u: young[u] if u in young else long_[u]) if long_ else young.__getitem__
+        out = [self._whole(t) if units is None else b"".join(map(of, units)) for t, units in zip(texts, cut, strict=True)]
+        if len(young) > self.bound:
+            self.young, self.old = {}, young
+        return out
+
     def encode(self, text: str) -> list[int]:
-        if _ODD.search(text) or "<|" in text:
-            return self.library.encode(text, add_special_tokens=False).ids
-        units = _UNIT.findall(text)
-        memo = self.memo
-        fresh = [u for u in set(units) if u not in memo]
-        if fresh:
-            if len(memo) + len(fresh) > self.bound:
-                memo.clear()
-                fresh = list(set(units))
-            for u, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                memo[u] = e.ids
-        return list(chain.from_iterable(map(memo.__getitem__, units)))
+        return np.frombuffer(self.encode_batch([text])[0], "<u4").tolist()
 
 
 @lru_cache(maxsize=2)
@@ -129,19 +168,24 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, kind
             ids.clear()
             return pd.DataFrame([row])
 
+        end = np.asarray([end_id], "<u4").tobytes()
         for frame in frames:
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                one = np.asarray(tok.encode(text) + [end_id], "<u4")
-                held.append(one)
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
-                state["held"] += len(one)
-                if state["held"] >= CHUNK:
-                    yield close()
+            for at in range(0, len(frame), TOGETHER):
+                part = frame.iloc[at : at + TOGETHER]
+                for doc_id, raw in zip(part["doc_id"], tok.encode_batch(part["text"].tolist()), strict=True):
+                    one = np.frombuffer(raw + end, "<u4")
+                    held.append(one)
+                    ids.append(None if pd.isna(doc_id) else int(doc_id))
+                    state["held"] += len(one)
+                    if state["held"] >= CHUNK:
+                        yield close()
         if held:
             yield close()
 
-    ordered = rows.repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    ordered.mapInPandas(run, INDEX + ", planes array<binary>").write.option("compression", "none").parquet(path)
+    # Rows of one id, or of none, are dealt out by their texts, and repeated rows one by one.
+    keyed = rows.withColumns({"start": F.substring("text", 1, 32), "row": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(n, F.asc_nulls_first("doc_id"), "start", "row").sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    ordered.select("doc_id", "text").mapInPandas(run, INDEX + ", planes array<binary>").write.option("compression", "none").parquet(path)
 
 
 def chunk_index(spark: SparkSession, path: str) -> DataFrame:
@@ -170,11 +214,14 @@ def read(spark: SparkSession, path: str, kind: str = "byte") -> DataFrame:
 
 
 def write_and_digest(docs: DataFrame, tokenizer_path: str, kind: str = "byte") -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 as read back from the files."""
+    """doc_id, start, n_tokens, ids_crc32 as read back from the files, which go afterwards."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     write(docs, tokenizer_path, path, kind=kind)
-    return read(spark, path, kind).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    back = read(spark, path, kind).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    out = materialise(back, "id-digests")
+    remove(spark, path)
+    return out
 
 
 def crc_of(ids: np.ndarray) -> int:

@@ -51,13 +51,16 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return out
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete what materialise wrote for frames that nothing reads any more: all that was made
     of them must itself be written or collected."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, df._scratch)
 
 
 def width(spark: SparkSession) -> int:

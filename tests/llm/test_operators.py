@@ -329,7 +329,7 @@ def test_every_linked_pair_shares_a_tile():
             assert tiles(a) & tiles(b)
             for parts in (8, 16):
                 x, y = ngram_join.bitmap(a, parts), ngram_join.bitmap(b, parts)
-                assert np.bitwise_count(x ^ y).sum() <= len(a) + len(b) - 2 * both
+                assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(a) + len(b) - 2 * both
             assert (x[:8] ^ x[8:] == ngram_join.bitmap(a)).all()
 
 
