@@ -10,11 +10,12 @@ next, with its first shingles. So every linked pair meets in a tile, and nothing
 the counters decide only how many others meet there.
 
 Inside the tiles no set of all pairs is made at first: each class's candidates are the tile's
-smallest and largest class, of which the nearest by the bitmaps is tried. Components of the
+smallest class and its hub, the class of whose own tiles the largest share is held by others
+too (an original among its edited copies), of which the nearest by the bitmaps is tried. Components of the
 links found tell which tiles still hold several components, and only pairs across components
 are tried there. Bit counts of the difference of two parity bitmaps bound the overlap from
 above: a bitmap of FIXED parts, which generated code compares inside the tile join, and for
-larger sets one that is as wide as the set is large. What passes has its sorted arrays
+larger sets one that is several times as wide as the set is large. What passes has its sorted arrays
 intersected.
 
 Defined results: words are cut at ASCII white space and A-Z lowered; a text of fewer words
@@ -32,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pluvia.llm.common import materialise, mix64, release, small, word_hashes
@@ -85,8 +87,8 @@ def bitmap(s: np.ndarray, parts: int = FIXED) -> np.ndarray:
 
 
 def wide_parts(n: int) -> int:
-    """Parts of the bitmap of a set of n: a power of two that gives each member a place."""
-    return max(FIXED, 1 << (max(1, -(-n // 64)) - 1).bit_length())
+    """Parts of the bitmap of a set of n: a power of two that gives each member four places."""
+    return max(FIXED, 1 << (max(1, -(-n // 16)) - 1).bit_length())
 
 
 class Bands:
@@ -262,16 +264,18 @@ def class_components(rows: DataFrame, n: int, percent: int) -> DataFrame:
     classes = classes_of(rows)
     # Tiles are many and most hold one class: they are counted without their rows first, and
     # copies, which have the same hi, do not make a tile shared.
-    placed = rows.where("_set.n > 0").select(F.col("_row").alias("uid"), "_set.hi", F.explode("_set.tiles").alias("tile"))
+    placed = rows.where("_set.n > 0").select(F.col("_row").alias("uid"), "_set.hi", F.size("_set.tiles").alias("in_all"), F.explode("_set.tiles").alias("tile"))
     shared = materialise(placed.groupBy("tile").agg(F.min("hi").alias("x"), F.max("hi").alias("y")).where("x < y").select("tile"), "shared-tiles")
     side = F.broadcast(shared) if shared.count() <= MOST_SENT else shared
-    found = materialise(placed.select("uid", "tile").join(side, "tile").join(classes.select("uid"), "uid", "left_semi"), "tile-rows")
+    found = placed.select("uid", "tile", "in_all").join(side, "tile").join(classes.select("uid"), "uid", "left_semi")
+    # A window holds the tiles of one class.
+    found = materialise(found.withColumn("share", F.count("*").over(W.partitionBy("uid")) / F.col("in_all")).drop("in_all"), "tile-rows")
     release(shared)
-    ends = found.groupBy("tile").agg(F.min("uid").alias("first"), F.max("uid").alias("last")).where("first < last")
-    members = materialise(found.join(ends, "tile"), "tiles")
+    ends = found.groupBy("tile").agg(F.min("uid").alias("first"), F.max("uid").alias("last"), F.max(F.struct("share", "uid"))["uid"].alias("hub")).where("first < last")
+    members = materialise(found.drop("share").join(ends.drop("last"), "tile"), "tiles")
     release(found)
-    star = members.where("first < uid").select(F.col("first").alias("a"), F.col("uid").alias("b"))
-    star = star.unionByName(members.where("uid < last").select(F.col("uid").alias("a"), F.col("last").alias("b"))).distinct()
+    star = members.where("first <> uid").select(F.col("first").alias("a"), F.col("uid").alias("b"))
+    star = star.unionByName(members.where("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b"))).distinct()
     # First each class with the nearest of its candidates by the bitmaps.
     maybe = possible(star, classes, j)
     nearest = materialise(maybe.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("at")).select("at.a", "b"), "nearest")
@@ -287,7 +291,8 @@ def class_components(rows: DataFrame, n: int, percent: int) -> DataFrame:
     left, right = _side(open_, "a", "tile", "c"), _side(open_, "b", "tile", "c")
     near = (left["a_tile"] == right["b_tile"]) & (left["a_c"] < right["b_c"]) & _bound(j)
     across = left.join(right, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    untried = materialise(across.join(nearest, ["a", "b"], "left_anti"), "untried")
+    tried = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    untried = materialise(across.join(tried, ["a", "b"], "left_anti"), "untried")
     release(members, label, nearest)
     if not untried.isEmpty():
         more = linked(untried, rows, n, percent)
