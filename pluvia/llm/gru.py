@@ -1,95 +1,80 @@
 """A gated recurrent language model in numpy, with a class-factored softmax.
 
-Documents are laid in lanes, one after another; the state is carried from window to window
-of a document and reset at its start, and gradients stop at a window's start (truncated
-backpropagation). A word's probability is that of its class times that of the word in it.
+The vocabulary has side * side ids of frequent words (and the text's end) in `side` classes, by
+falling count, and REST classes that stand for all other words, each for those of some endings.
+A frequent word's probability is that of its class times that of the word in it; a rest class is
+one id, whose words share its probability by their counts (lm_score.py).
+
+For training, documents follow one another in a stream that is cut into lanes of equal length;
+the state is carried from window to window of a lane and reset where a document starts, and
+gradients stop at a window's start (truncated backpropagation). For scoring, each document stays
+whole in one lane, so its state is carried through all of it; lanes are read from one flat array,
+so a very long document costs its own length only.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 
 HIDDEN = 16
-#: Classes, and words in a class.
-CLASSES, IN_CLASS = 32, 32
-SIZE = CLASSES * IN_CLASS
-#: The last class holds one id, that of all words outside the vocabulary.
-OUTSIDE = SIZE - IN_CLASS
+#: Classes for words outside the vocabulary.
+REST = 32
+#: Most classes of frequent words, and most words in one.
+SIDE = 64
 WINDOW = 32
-LANES = 256
+#: Lanes of training, at most, and of scoring.
+LANES, SCORE_LANES = 128, 256
 _NAMES = ("inputs", "u", "c", "cb", "d", "db")
 
+Params = dict[str, np.ndarray]
 
-def _shapes() -> dict[str, tuple[int, ...]]:
-    h = HIDDEN
-    return {"inputs": (SIZE, 3 * h), "u": (h, 3 * h), "c": (h, CLASSES), "cb": (CLASSES,), "d": (CLASSES, h, IN_CLASS), "db": (CLASSES, IN_CLASS)}
 
+def side_of(words: int) -> int:
+    """Classes for so many frequent words and the end: their square root, SIDE at most."""
+    return min(SIDE, max(4, math.ceil(math.sqrt(words + 1))))
 
-Params = dict[str, np.ndarray]
+
+def _shapes(side: int) -> dict[str, tuple[int, ...]]:
+    h = HIDDEN
+    return {"inputs": (side * side + REST, 3 * h), "u": (h, 3 * h), "c": (h, side + REST), "cb": (side + REST,), "d": (side, h, side), "db": (side, side)}
 
 
 def initial(counts: np.ndarray, seed: int = 0) -> Params:
-    """Small random weights; output biases that give the counts' unigram distribution."""
+    """Small random weights; output biases that give the counts' unigram distribution. counts: of
+    the side * side ids (negative: no such id), then of the REST classes."""
     rng = np.random.default_rng(seed)
-    p = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in _shapes().items()}
-    held = np.arange(SIZE) <= OUTSIDE
-    share = ((counts + 0.1) * held / ((counts + 0.1) * held).sum() + 1e-30).reshape(CLASSES, IN_CLASS)
-    p["cb"] = np.log(share.sum(1)).astype(np.float32)
-    p["db"] = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
+    side = math.isqrt(len(counts) - REST)
+    p = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in _shapes(side).items()}
+    mass = np.where(counts >= 0, counts + 0.1, 0)
+    share = mass / mass.sum() + 1e-30
+    inner = share[: side * side].reshape(side, side)
+    p["cb"] = np.log(np.concatenate([inner.sum(1), share[side * side :]])).astype(np.float32)
+    p["db"] = np.log(inner / inner.sum(1, keepdims=True)).astype(np.float32)
     return p
 
 
+def side_in(p: Params) -> int:
+    return len(p["db"])
+
+
 def flatten(p: Params) -> np.ndarray:
     return np.concatenate([p[k].ravel() for k in _NAMES]).astype(np.float32)
 
 
 def unflatten(flat: np.ndarray) -> Params:
+    side = next(s for s in range(1, SIDE + 1) if sum(math.prod(x) for x in _shapes(s).values()) == len(flat))
     out, at = {}, 0
     for k in _NAMES:
-        shape = _shapes()[k]
-        n = int(np.prod(shape))
+        shape = _shapes(side)[k]
+        n = math.prod(shape)
         out[k] = np.array(flat[at : at + n], np.float32).reshape(shape)
         at += n
     return out
 
 
-class Lanes:
-    """Documents (arrays of word ids, none empty) in lanes; longest lane first."""
-
-    def __init__(self, docs: list[np.ndarray], end: int, lanes: int = LANES):
-        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-        heap = [(0, k) for k in range(min(lanes, max(1, len(docs))))]
-        held: list[list[int]] = [[] for _ in heap]
-        for i in order:
-            n, k = heapq.heappop(heap)
-            held[k].append(i)
-            heapq.heappush(heap, (n + len(docs[i]), k))
-        held.sort(key=lambda ids: -sum(len(docs[i]) for i in ids))
-        self.lengths = np.array([sum(len(docs[i]) for i in ids) for ids in held])
-        deep = int(self.lengths.max(initial=0))
-        self.target = np.full((deep, len(held)), end, np.int16)
-        self.input = np.full((deep, len(held)), end, np.int16)
-        self.fresh = np.zeros((deep, len(held)), bool)
-        #: Of each document: its lane and first row there.
-        self.place = np.zeros((len(docs), 2), np.int64)
-        for k, ids in enumerate(held):
-            at = 0
-            for i in ids:
-                n = len(docs[i])
-                self.target[at : at + n, k] = docs[i]
-                self.input[at + 1 : at + n, k] = docs[i][:-1]
-                self.fresh[at, k] = True
-                self.place[i] = k, at
-                at += n
-
-    def windows(self):
-        """(first row, rows, lanes that still have words)."""
-        for t in range(0, len(self.target), WINDOW):
-            yield t, min(WINDOW, len(self.target) - t), int((self.lengths > t).sum())
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -99,9 +84,10 @@ def _states(p: Params, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep:
     n, k = HIDDEN, len(ids)
     a = p["inputs"][ids]
     out = np.empty((k, ids.shape[1], n), np.float32)
+    starts = fresh.any(1)
     trace = []
     for t in range(k):
-        if fresh[t].any():
+        if starts[t]:
             h = np.where(fresh[t][:, None], np.float32(0), h)
         g = h @ p["u"]
         rz = _sigmoid(a[t, :, : 2 * n] + g[:, : 2 * n])
@@ -120,15 +106,13 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    cls = target // IN_CLASS
-    order = np.argsort(cls, kind="stable")
-    return cls, order, np.searchsorted(cls[order], np.arange(CLASSES + 1))
-
-
 def _output(p: Params, h: np.ndarray, target: np.ndarray, weight: np.ndarray | None):
     """Log-probability of each target; with weights (0 or 1) also the gradients of their sum."""
-    cls, order, cut = _by_class(target)
+    side = side_in(p)
+    inner = target < side * side
+    cls = np.where(inner, target // side, target - side * side + side)
+    order = np.argsort(cls, kind="stable")
+    cut = np.searchsorted(cls[order], np.arange(side + 1))
     rows = np.arange(len(h))
     lc = _log_softmax(h @ p["c"] + p["cb"])
     logp = lc[rows, cls]
@@ -139,8 +123,8 @@ def _output(p: Params, h: np.ndarray, target: np.ndarray, weight: np.ndarray | N
         dc *= weight[:, None]
         grads = {"c": h.T @ dc, "cb": dc.sum(0), "d": np.zeros_like(p["d"]), "db": np.zeros_like(p["db"])}
         dh = dc @ p["c"].T
-    word = target % IN_CLASS
-    for c in range(CLASSES - 1):
+    word = target % side
+    for c in range(side):
         at = order[cut[c] : cut[c + 1]]
         if not len(at):
             continue
@@ -159,29 +143,55 @@ def _output(p: Params, h: np.ndarray, target: np.ndarray, weight: np.ndarray | N
 
 def log_probabilities(p: Params, docs: list[np.ndarray], end: int) -> np.ndarray:
     """Natural log-likelihood of each document (arrays of ids, none empty)."""
-    lanes = Lanes(docs, end)
-    logp = np.zeros(lanes.target.shape, np.float32)
-    h = np.zeros((lanes.target.shape[1], HIDDEN), np.float32)
-    for t, k, n in lanes.windows():
-        states, h, _ = _states(p, lanes.input[t : t + k, :n], lanes.fresh[t : t + k, :n], h[:n], False)
-        got, _, _ = _output(p, states.reshape(-1, HIDDEN), lanes.target[t : t + k, :n].reshape(-1), None)
-        logp[t : t + k, :n] = got.reshape(k, n)
-    sums = np.vstack([np.zeros((1, logp.shape[1])), np.cumsum(logp, axis=0, dtype=np.float64)])
-    lane, at = lanes.place[:, 0], lanes.place[:, 1]
-    return sums[at + np.array([len(d) for d in docs], np.int64), lane] - sums[at, lane]
+    if not docs:
+        return np.empty(0)
+    sizes = np.array([len(d) for d in docs], np.int64)
+    heap = [(0, k) for k in range(min(SCORE_LANES, len(docs)))]
+    held: list[list[int]] = [[] for _ in heap]
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        n, k = heapq.heappop(heap)
+        held[k].append(i)
+        heapq.heappush(heap, (n + int(sizes[i]), k))
+    held.sort(key=lambda ids: -int(sizes[ids].sum()))
+    flow = [i for ids in held for i in ids]
+    target = np.concatenate([docs[i] for i in flow]).astype(np.int32)
+    starts = np.concatenate([[0], np.cumsum(sizes[flow])[:-1]])
+    fresh = np.zeros(len(target), bool)
+    fresh[starts] = True
+    given = np.concatenate([[end], target[:-1]]).astype(np.int32)
+    given[starts] = end
+    lengths = np.array([int(sizes[ids].sum()) for ids in held])
+    base = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    logp = np.zeros(len(target), np.float32)
+    h = np.zeros((len(held), HIDDEN), np.float32)
+    for t in range(0, int(lengths[0]), WINDOW):
+        n = int((lengths > t).sum())
+        # A lane that ends in the window reads on into the next, and that is thrown away.
+        at = np.minimum(base[:n] + t + np.arange(WINDOW)[:, None], len(target) - 1)
+        states, h, _ = _states(p, given[at], fresh[at], h[:n], False)
+        got, _, _ = _output(p, states.reshape(-1, HIDDEN), target[at].reshape(-1), None)
+        own = t + np.arange(WINDOW)[:, None] < lengths[:n]
+        logp[at[own]] = got.reshape(at.shape)[own]
+    out = np.zeros(len(docs))
+    out[flow] = np.add.reduceat(logp.astype(np.float64), starts)
+    return out
 
 
 class Trainer:
-    """Adam over windows; state goes from window to window, gradients don't."""
+    """Adam over windows; state goes from window to window, gradients don't.
+
+    The rate falls to a tenth by the time that `expected` ids have been seen.
+    """
 
-    def __init__(self, p: Params, rate: float = 0.015):
-        self.p, self.rate, self.step = p, rate, 0
+    def __init__(self, p: Params, rate: float = 0.02, expected: float = math.inf):
+        self.p, self.rate, self.step, self.seen, self.expected = p, rate, 0, 0, expected
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
 
     def update(self, grads: Params) -> None:
         self.step += 1
-        scale = self.rate * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
+        rate = self.rate * (1 - 0.9 * min(1.0, self.seen / self.expected))
+        scale = rate * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
         for k, g in grads.items():
             self.m[k] += np.float32(0.1) * (g - self.m[k])
             self.v[k] += np.float32(0.01) * (g * g - self.v[k])
@@ -198,6 +208,7 @@ class Trainer:
         du = np.zeros_like(p["u"])
         carry = np.zeros_like(last)
         dg = np.empty((ids.shape[1], 3 * n), np.float32)
+        starts = fresh.any(1)
         for t in range(len(ids) - 1, -1, -1):
             was, gn, r, z, new = trace[t]
             d = dh[t] + carry
@@ -209,7 +220,7 @@ class Trainer:
             dg[:, 2 * n :] = dn * r
             du += was.T @ dg
             carry = d * z + dg @ p["u"].T
-            if fresh[t].any():
+            if starts[t]:
                 carry = np.where(fresh[t][:, None], np.float32(0), carry)
         grads["u"] = du
         order = np.argsort(ids.reshape(-1), kind="stable")
@@ -219,14 +230,26 @@ class Trainer:
         return {k: np.clip(g / np.float32(total), -1, 1) for k, g in grads.items()}, last, float((logp * weight.reshape(-1)).sum())
 
     def run(self, docs: list[np.ndarray], end: int) -> float:
-        """One pass over documents; the summed log-likelihood met on the way."""
-        total = sum(map(len, docs))
-        lanes = Lanes(docs, end, max(8, min(LANES, total // 2048)))
-        h = np.zeros((lanes.target.shape[1], HIDDEN), np.float32)
+        """One pass over documents (or parts of them); the summed log-likelihood met on the way.
+
+        All lanes are as long, so no window is thin: only the last lane may be short of some ids.
+        """
+        target = np.concatenate(docs).astype(np.int32)
+        fresh = np.zeros(len(target), bool)
+        fresh[np.concatenate([[0], np.cumsum([len(d) for d in docs])[:-1]]).astype(np.int64)] = True
+        given = np.concatenate([[end], target[:-1]]).astype(np.int32)
+        given[fresh] = end
+        lanes = max(1, min(LANES, len(target) // (4 * WINDOW)))
+        deep = -(-len(target) // lanes)
+        base = np.arange(lanes) * deep
+        h = np.zeros((lanes, HIDDEN), np.float32)
         likelihood = 0.0
-        for t, k, n in lanes.windows():
-            weight = (np.arange(t, t + k)[:, None] < lanes.lengths[None, :n]).astype(np.float32)
-            grads, h, got = self.gradients(lanes.input[t : t + k, :n], lanes.fresh[t : t + k, :n], lanes.target[t : t + k, :n], weight, h[:n])
+        for t in range(0, deep, WINDOW):
+            rows = np.arange(t, min(t + WINDOW, deep))[:, None]
+            real = base + rows < len(target)
+            at = np.where(real, base + rows, 0)
+            grads, h, got = self.gradients(given[at], fresh[at], target[at], real.astype(np.float32), h)
+            self.seen += int(real.sum())
             self.update(grads)
             likelihood += got
         return likelihood

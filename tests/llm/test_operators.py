@@ -96,14 +96,29 @@ def test_lm_rare_words_come_by_a_join(docs, monkeypatch):
     assert few == full
 
 
+def test_lm_score_is_the_same_however_it_is_read(docs, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 2000)
+    monkeypatch.setattr(lm_score, "FAN_IN", 2)
+    scored = [sorted((r["doc_id"] or -1, r["n_tokens"], round(r["score"], 6)) for r in lm_score.scores(docs.repartition(k)).collect()) for k in (1, 4)]
+    assert scored[0] == scored[1]
+
+
+def test_lm_beats_the_base_on_held_out_documents(spark):
+    got = lm_score.scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").toPandas()
+    assert len(got) > 50 and got["score"].sum() > 0.97 * got["base_score"].sum()
+
+
 def test_gru_is_a_distribution_and_its_gradients_are_right():
     rng = np.random.default_rng(0)
-    counts = rng.integers(1, 50, gru.SIZE).astype(float)
+    side = 6
+    size = side * side + gru.REST
+    counts = rng.integers(1, 50, size).astype(float)
     p = {k: v.astype(np.float64) for k, v in gru.initial(counts).items()}
-    start = [np.array([5, 7, i], np.int16) for i in range(gru.OUTSIDE + 1)]
+    start = [np.array([5, 7, i], np.int16) for i in range(size)]
     prefix = gru.log_probabilities(p, [np.array([5, 7], np.int16)], 3)[0]
     assert abs(np.exp(gru.log_probabilities(p, start, 3) - prefix).sum() - 1) < 1e-3
-    ids, target = rng.integers(0, gru.OUTSIDE + 1, (6, 5)), rng.integers(0, gru.OUTSIDE + 1, (6, 5))
+    assert all((a == b).all() for a, b in zip(gru.unflatten(gru.flatten(gru.initial(counts))).values(), gru.initial(counts).values(), strict=True))
+    ids, target = rng.integers(0, size, (6, 5)), rng.integers(0, size, (6, 5))
     fresh = rng.random((6, 5)) < 0.2
     loss = lambda q: -gru._output(q, gru._states(q, ids, fresh, np.zeros((5, gru.HIDDEN)), False)[0].reshape(-1, gru.HIDDEN).astype(float), target.reshape(-1), None)[0].sum()
     grads, _, _ = gru.Trainer(p).gradients(ids, fresh, target, np.ones((6, 5)), np.zeros((5, gru.HIDDEN)))
@@ -114,18 +129,21 @@ def test_gru_is_a_distribution_and_its_gradients_are_right():
         assert abs((loss(hi) - loss(lo)) / 2e-2 / 30 - grads[k][at]) < 1e-5
 
 
-def test_gru_learns_context():
+def test_gru_learns_context_and_carries_state_through_long_texts():
     rng = np.random.default_rng(2)
-    docs = []
-    for _ in range(400):
-        base = 100 * int(rng.integers(0, 3))
-        docs.append(np.append(base + rng.integers(0, 20, 60), lm_score.END).astype(np.int16))
-    counts = np.bincount(np.concatenate(docs), minlength=gru.SIZE).astype(float)
-    p, before = gru.initial(counts), gru.log_probabilities(gru.initial(counts), docs, lm_score.END).sum()
+    size, end = 18 * 18 + gru.REST, 323
+    docs = [np.append(100 * int(rng.integers(0, 3)) + rng.integers(0, 20, 60), end).astype(np.int16) for _ in range(400)]
+    counts = np.bincount(np.concatenate(docs), minlength=size).astype(float)
+    p, before = gru.initial(counts), gru.log_probabilities(gru.initial(counts), docs, end).sum()
     trainer = gru.Trainer(p)
     for _ in range(6):
-        trainer.run(docs, lm_score.END)
-    assert gru.log_probabilities(trainer.p, docs, lm_score.END).sum() > before * 0.9
+        trainer.run(docs, end)
+    assert gru.log_probabilities(trainer.p, docs, end).sum() > before * 0.9
+    # One text alone, step by step, and among others.
+    long_ = np.concatenate([d[:-1] for d in docs[:9]] + [docs[9]])
+    states, _, _ = gru._states(trainer.p, np.concatenate([[end], long_[:-1]])[:, None], np.arange(len(long_))[:, None] == 0, np.zeros((1, gru.HIDDEN), np.float32), False)
+    whole = gru._output(trainer.p, states.reshape(-1, gru.HIDDEN), long_, None)[0].sum()
+    assert abs(gru.log_probabilities(trainer.p, [docs[0], long_, docs[1]], end)[1] - whole) < 1e-3 * abs(whole)
 
 
 def test_quality_counts(docs, empty, labels, rows):
