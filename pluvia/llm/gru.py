@@ -26,7 +26,7 @@ REST = 32
 SIDE = 64
 WINDOW = 32
 #: Lanes of training, at most, and of scoring.
-LANES, SCORE_LANES = 128, 256
+LANES, SCORE_LANES = 256, 512
 _NAMES = ("inputs", "u", "c", "cb", "d", "db")
 
 Params = dict[str, np.ndarray]
@@ -100,10 +100,17 @@ def _states(p: Params, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep:
     return out, h, trace
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    """In place. States are within -1 and 1 and gradients clipped, so exp can't overflow."""
-    x -= np.log(np.einsum("ij->i", np.exp(x)))[:, None]
-    return x
+def _choice(x: np.ndarray, rows: np.ndarray, chosen: np.ndarray, slope: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """(log-probability of each row's choice, its slope by x) under a softmax of x's rows. States are
+    within -1 and 1 and gradients clipped, so exp can't overflow."""
+    e = np.exp(x)
+    z = np.einsum("ij->i", e)
+    logp = x[rows, chosen] - np.log(z)
+    if not slope:
+        return logp, None
+    e /= z[:, None]
+    e[rows, chosen] -= 1
+    return logp, e
 
 
 def _output(p: Params, h: np.ndarray, target: np.ndarray, weight: np.ndarray | None):
@@ -111,15 +118,11 @@ def _output(p: Params, h: np.ndarray, target: np.ndarray, weight: np.ndarray | N
     side = side_in(p)
     inner = target < side * side
     cls = np.where(inner, target // side, target - side * side + side)
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(cls.astype(np.int16), kind="stable")
     cut = np.searchsorted(cls[order], np.arange(side + 1))
-    rows = np.arange(len(h))
-    lc = _log_softmax(h @ p["c"] + p["cb"])
-    logp = lc[rows, cls]
+    logp, dc = _choice(h @ p["c"] + p["cb"], np.arange(len(h)), cls, weight is not None)
     grads, dh = None, None
     if weight is not None:
-        dc = np.exp(lc)
-        dc[rows, cls] -= 1
         dc *= weight[:, None]
         grads = {"c": h.T @ dc, "cb": dc.sum(0), "d": np.zeros_like(p["d"]), "db": np.zeros_like(p["db"])}
         dh = dc @ p["c"].T
@@ -128,13 +131,10 @@ def _output(p: Params, h: np.ndarray, target: np.ndarray, weight: np.ndarray | N
         at = order[cut[c] : cut[c + 1]]
         if not len(at):
             continue
-        hc, wc = h[at], word[at]
-        lw = _log_softmax(hc @ p["d"][c] + p["db"][c])
-        one = np.arange(len(at))
-        logp[at] += lw[one, wc]
+        hc = h[at]
+        got, dw = _choice(hc @ p["d"][c] + p["db"][c], np.arange(len(at)), word[at], weight is not None)
+        logp[at] += got
         if weight is not None:
-            dw = np.exp(lw)
-            dw[one, wc] -= 1
             dw *= weight[at][:, None]
             grads["d"][c], grads["db"][c] = hc.T @ dw, dw.sum(0)
             dh[at] += dw @ p["d"][c].T

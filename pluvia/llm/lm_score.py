@@ -172,7 +172,7 @@ def train(docs: DataFrame, codes: Codes, start: np.ndarray, tokens: int) -> np.n
     schema = "n long, p binary"
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), "text", "doc_id", F.xxhash64("text").alias("th"))
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "th").select("shard", "text")
+    dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "th").select("shard", "text")
     copies = materialise(dealt.mapInArrow(run, schema), "lm-copies")
     while (many := copies.count()) > FAN_IN:
         # By value, so the same copies meet whatever tasks wrote them.
