@@ -14,9 +14,9 @@ smallest class and its hub, the class of whose own tiles the largest share is he
 too (an original among its edited copies), of which the nearest by the bitmaps is tried. Components of the
 links found tell which tiles still hold several components, and only pairs across components
 are tried there. Bit counts of the difference of two parity bitmaps bound the overlap from
-above: a bitmap of FIXED parts, which generated code compares inside the tile join, and for
-larger sets one that is several times as wide as the set is large. What passes has its sorted arrays
-intersected.
+above: one of about half as many places as the set has members, MIDDLE parts at most, inside
+the tile join, and one of four places a member once a pair is made. What passes has its sorted
+arrays intersected.
 
 Defined results: words are cut at ASCII white space and A-Z lowered; a text of fewer words
 than a shingle is one shingle; null or blank texts have an empty set and link with nothing;
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from pluvia.llm.common import materialise, mix64, release, small, word_hashes
 from pluvia.llm.components import components
 
-#: 64-bit parts of the bitmap that all sets have.
-FIXED = 8
+#: Most 64-bit parts of the bitmap that goes to the tiles.
+MIDDLE = 16
 NO_ID = -(1 << 63)
 #: Counters of shingles, a byte each in every task.
 BUCKETS = 1 << 20
@@ -79,16 +79,26 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return struct.unpack("<qq", xxhash.xxh3_128_digest(s.tobytes()))
 
 
-def bitmap(s: np.ndarray, parts: int = FIXED) -> np.ndarray:
+def bitmap(s: np.ndarray, parts: int) -> np.ndarray:
     """Parity of the shingles at each of parts * 64 places: two bitmaps differ in no more
     places than the sets do in members. The halves of one, XORed, are that of half the parts."""
     odd = (np.bincount((s % np.uint64(parts * 64)).astype(np.int64), minlength=parts * 64) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def folded_to(bits: np.ndarray, parts: int) -> np.ndarray:
+    """A bitmap in so many parts, which divide its own."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, parts), axis=0)
+
+
 def wide_parts(n: int) -> int:
-    """Parts of the bitmap of a set of n: a power of two that gives each member four places."""
-    return max(FIXED, 1 << (max(1, -(-n // 16)) - 1).bit_length())
+    """Parts of the wide bitmap of a set of n: a power of two that gives each member four places."""
+    return 1 << (max(1, -(-n // 16)) - 1).bit_length()
+
+
+def narrow_parts(n: int) -> int:
+    """Parts of the narrow one: half a place a member, MIDDLE at most."""
+    return min(MIDDLE, 1 << (max(1, -(-n // 128)) - 1).bit_length())
 
 
 class Bands:
@@ -146,12 +156,12 @@ def commonness(docs: DataFrame, n: int) -> np.ndarray:
     return level
 
 
-_SIGNATURE = "struct<n:long,hi:long,lo:long,bits:array<long>,wide:array<long>,tiles:array<long>>"
+_SIGNATURE = "struct<n:long,hi:long,lo:long,bits:array<long>,whole:array<long>,tiles:array<long>>"
 
 
 def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """docs with a column _set: n (set size), hi, lo (the set's key), bits, wide (for sets of more
-    members than bits has places), tiles; a pass for the counters and one for the rows, neither of
+    """docs with a column _set: n (set size), hi, lo (the set's key), bits and whole (a
+    narrow and a wide bitmap), tiles; a pass for the counters and one for the rows, neither of
     which shuffles them. Written once, with a column _row that numbers the rows."""
     level = docs.sparkSession.sparkContext.broadcast(commonness(docs, n))
 
@@ -159,35 +169,25 @@ def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
         bands, columns = Bands(percent / 100), [[] for _ in range(6)]
         for at in range(0, len(texts), 2048):
             for s in shingle_sets(texts[at : at + 2048], n):
-                parts = wide_parts(len(s))
-                row = (len(s), *set_key(s), bitmap(s) if len(s) else None, bitmap(s, parts) if parts > FIXED else None, tiles(s, bands, percent, level.value) if len(s) else None)
+                whole = bitmap(s, wide_parts(len(s))) if len(s) else None
+                row = (len(s), *set_key(s), folded_to(whole, narrow_parts(len(s))) if len(s) else None, whole, tiles(s, bands, percent, level.value) if len(s) else None)
                 for c, v in zip(columns, row, strict=True):
                     c.append(v)
         kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
-        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["n", "hi", "lo", "bits", "wide", "tiles"])
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["n", "hi", "lo", "bits", "whole", "tiles"])
 
     signature = F.arrow_udf(signed, _SIGNATURE)
     return materialise(docs.withColumns({"_set": signature("text"), "_row": F.monotonically_increasing_id()}), "shingles")
 
 
-def _differ() -> Column:
-    """Places in which the bitmaps differ: the sets differ in as many members at least."""
-    return sum((F.bit_count(F.get("a_bits", F.lit(i)).bitwiseXOR(F.get("b_bits", F.lit(i)))) for i in range(FIXED)), F.lit(0))
-
-
-def _differ_wide() -> Column:
-    """The same by the wide bitmaps, where both have one; linked sets' differ in width by one
-    halving at most."""
-    a, b = F.col("a_wide"), F.col("b_wide")
-    half = lambda x: F.zip_with(F.slice(x, 1, F.floor(F.size(x) / 2).cast("int")), F.slice(x, F.floor(F.size(x) / 2).cast("int") + 1, F.size(x)), lambda p, q: p.bitwiseXOR(q))
+def _differ(name: str) -> Column:
+    """Places in which two bitmaps differ: the sets differ in as many members at least. Linked sets'
+    differ in width by one halving at most; others' are not compared."""
+    a, b = F.col(f"a_{name}"), F.col(f"b_{name}")
+    middle = lambda x: F.floor(F.size(x) / 2).cast("int")
+    half = lambda x: F.zip_with(F.slice(x, 1, middle(x)), F.slice(x, middle(x) + 1, F.size(x)), lambda p, q: p.bitwiseXOR(q))
     differing = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    return (
-        F.when(a.isNull() | b.isNull(), F.lit(0))
-        .when(F.size(a) == F.size(b), differing(a, b))
-        .when(F.size(a) == 2 * F.size(b), differing(half(a), b))
-        .when(F.size(b) == 2 * F.size(a), differing(a, half(b)))
-        .otherwise(F.lit(0))
-    )
+    return F.when(F.size(a) == F.size(b), differing(a, b)).when(F.size(a) == 2 * F.size(b), differing(half(a), b)).when(F.size(b) == 2 * F.size(a), differing(a, half(b))).otherwise(F.lit(0))
 
 
 def _allows(differ: Column, j: float) -> Column:
@@ -196,18 +196,15 @@ def _allows(differ: Column, j: float) -> Column:
     return both * (1 + j) >= j * (F.col("a_n") + F.col("b_n")) - F.lit(1e-6)
 
 
-def _bound(j: float) -> Column:
-    return _allows(_differ(), j) & _allows(_differ_wide(), j)
-
-
 def _side(classes: DataFrame, s: str, *more: str) -> DataFrame:
-    return classes.select(F.col("uid").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "bits", "wide", *more)])
+    return classes.select(F.col("uid").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", *more)])
 
 
 def possible(pairs: DataFrame, classes: DataFrame, j: float) -> DataFrame:
-    """The pairs (a, b) that the bitmaps leave, and gap, the differing places for each member."""
-    gap = F.greatest(_differ(), _differ_wide()) / (F.col("a_n") + F.col("b_n"))
-    return materialise(pairs.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").where(_bound(j)).select("a", "b", gap.alias("gap")), "maybe")
+    """The pairs (a, b) that the wide bitmaps leave, and gap, the differing places for each member."""
+    differ = _differ("whole")
+    met = pairs.join(_side(classes, "a", "whole"), "a").join(_side(classes, "b", "whole"), "b")
+    return materialise(met.where(_allows(differ, j)).select("a", "b", (differ / (F.col("a_n") + F.col("b_n"))).alias("gap")), "maybe")
 
 
 def linked(maybe: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -249,13 +246,13 @@ def linked(maybe: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """uid (the row that stands for it), rep (its smallest doc, NO_ID for null), n, hi, lo, bits, wide
-    of every distinct set that is not empty: exact copies end here."""
+    """uid (the row that stands for it), rep (its smallest doc, NO_ID for null), n, hi, lo, bits,
+    whole of every distinct set that is not empty: exact copies end here."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     full = rows.where("_set.n > 0")
     one = full.select("_set.hi", "_set.lo", doc.alias("doc"), F.col("_row").alias("uid")).groupBy("hi", "lo").agg(F.min(F.struct("doc", "uid")).alias("at"))
     chosen = one.select("at.uid", F.col("at.doc").alias("rep"), "hi", "lo")
-    return materialise(chosen.join(full.select(F.col("_row").alias("uid"), "_set.n", "_set.bits", "_set.wide"), "uid"), "classes")
+    return materialise(chosen.join(full.select(F.col("_row").alias("uid"), "_set.n", "_set.bits", "_set.whole"), "uid"), "classes")
 
 
 def class_components(rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -287,12 +284,12 @@ def class_components(rows: DataFrame, n: int, percent: int) -> DataFrame:
     label = materialise(label, "labelled")
     mixed = label.groupBy("tile").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("tile")
     # The bitmaps' bound is part of the join, so pairs that it rules out are never rows.
-    open_ = label.join(mixed, "tile").join(classes.select("uid", "n", "bits", "wide"), "uid")
-    left, right = _side(open_, "a", "tile", "c"), _side(open_, "b", "tile", "c")
-    near = (left["a_tile"] == right["b_tile"]) & (left["a_c"] < right["b_c"]) & _bound(j)
+    open_ = label.join(mixed, "tile").join(classes.select("uid", "n", "bits"), "uid")
+    left, right = _side(open_, "a", "bits", "tile", "c"), _side(open_, "b", "bits", "tile", "c")
+    near = (left["a_tile"] == right["b_tile"]) & (left["a_c"] < right["b_c"]) & _allows(_differ("bits"), j)
     across = left.join(right, near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    untried = materialise(across.join(tried, ["a", "b"], "left_anti"), "untried")
+    untried = possible(across.join(tried, ["a", "b"], "left_anti"), classes, j)
     release(members, label, nearest)
     if not untried.isEmpty():
         more = linked(untried, rows, n, percent)

@@ -349,7 +349,7 @@ def test_every_linked_pair_shares_a_tile():
                 x, y = ngram_join.bitmap(a, parts), ngram_join.bitmap(b, parts)
                 assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(a) + len(b) - 2 * both
             x = ngram_join.bitmap(a, 16)
-            assert (x[:8] ^ x[8:] == ngram_join.bitmap(a)).all()
+            assert (x[:8] ^ x[8:] == ngram_join.bitmap(a, 8)).all() and (ngram_join.folded_to(x, 4) == ngram_join.bitmap(a, 4)).all()
 
 
 def test_sharding(spark, docs, empty, rows):
