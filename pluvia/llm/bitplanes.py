@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -38,29 +39,33 @@ BLOCK = 4096
 #: A chunk is closed once it holds so many ids.
 CHUNK = 1 << 17
 #: Documents encoded together.
-TOGETHER = 64
+TOGETHER = 1024
 INDEX = "shard int, chunk int, first long, n_ids long, doc_ids array<long>, lengths array<long>"
 
-#: A run of spaces and newlines with what follows: no match of the pre-tokenizer crosses
-#: its start as long as the text has no other white space.
-_UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_ODD = re.compile(r"[^\S \n]")
+#: A space before more white space, and what may be a special token: such texts go to the library
+#: whole. In all others every space starts a match of the pre-tokenizer, as no run of white space
+#: has a space but at its end.
+_ODD = re.compile(r" (?=\s)|<\|")
+#: Marks that end a match when they follow letters and are matches of their own at a word's end.
+_MARKS = frozenset(".,;:!?")
 
 
 class FileTokenizer:
-    """The tokenizers library with a memo of the ids (as bytes) of units seen before.
-
-    The memo has two generations of at most `bound` units of at most LONGEST code points, which
-    bounds its bytes. A unit that is met again moves to the younger one; when that is full it
-    becomes the older one, whose units are forgotten, so frequent units stay. Units not in it are
-    encoded many in a call, one behind the other, and told apart by the bytes that ids stand for.
+    """The tokenizers library with a memo of the ids (as bytes) of words seen before.
+
+    A word is what stands between two spaces; its ids are those of a space and it. The memo has two
+    generations of at most `bound` words of at most LONGEST code points, which bounds its bytes. A
+    word that is met again moves to the younger one; when that is full it becomes the older one,
+    whose words are forgotten, so frequent words stay. Words not in it are encoded many in a call,
+    one behind the other, and told apart by the bytes that ids stand for; letters with a mark at
+    the end are the letters and the mark.
     """
 
     LONGEST = 48
-    #: Units encoded as one text.
+    #: Words encoded as one text.
     RUN = 200
 
-    def __init__(self, path: str, bound: int = 150_000):
+    def __init__(self, path: str, bound: int = 300_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -70,6 +75,7 @@ class FileTokenizer:
         size = self.library.get_vocab_size()
         #: Bytes that each id stands for: a character each in a byte-level vocabulary.
         self.bytes = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], np.int64)
+        self.marks = {m: self._whole(m) for m in _MARKS}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.bound = bound
@@ -77,40 +83,81 @@ class FileTokenizer:
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _fresh(self, units: list[str]) -> dict[str, bytes]:
-        """The ids of units that the memo lacks."""
-        # Only units between white space and what is none can stand in a run.
-        inner = [u for u in units if u[0] in " \n" and u[-1] not in " \n"]
-        found = {u: self._whole(u) for u in units if u[0] not in " \n" or u[-1] in " \n"}
+    def _fresh(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words (each after a space) that the memo lacks."""
+        # No word, or one with white space at an end, is not put among others.
+        inner = [w for w in words if w and w == w.strip()]
+        found = {w: self._whole(" " + w) for w in words if not w or w != w.strip()}
         runs = [inner[i : i + self.RUN] for i in range(0, len(inner), self.RUN)]
-        for run, e in zip(runs, self.library.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+        texts = [" " + " ".join(r) for r in runs]
+        for run, e in zip(runs, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.asarray(e.ids, "<u4")
-            ends = np.cumsum([len(u.encode("utf-8")) for u in run])
-            cuts = [0, *(np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1).tolist()]
+            ends = np.cumsum(pc.binary_length(pa.array(run)).to_numpy() + 1)
+            cuts = ((np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1) * 4).tolist()
             raw = ids.tobytes()
-            found |= {u: raw[4 * a : 4 * b] for u, a, b in zip(run, cuts[:-1], cuts[1:], strict=True)}
+            found.update(zip(run, (raw[a:b] for a, b in zip([0, *cuts], cuts)), strict=True))
         return found
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        cut = [None if _ODD.search(t) or "<|" in t else _UNIT.findall(t) for t in texts]
-        young, old, more = self.young, self.old, []
-        for u in {u for units in cut if units for u in units}.difference(young):
-            if (known := old.get(u)) is None:
-                more.append(u)
-            else:
-                young[u] = known
-        here = self._fresh(more)
-        young.update((u, ids) for u, ids in here.items() if len(u) <= self.LONGEST)
-        long_ = {u: ids for u, ids in here.items() if len(u) > self.LONGEST}
-        of = (lambda u: young[u] if u in young else long_[u]) if long_ else young.__getitem__
-        out = [self._whole(t) if units is None else b"".join(map(of, units)) for t, units in zip(texts, cut, strict=True)]
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these distinct words, after a space."""
+        young, old = self.young, self.old
+        got = list(map(young.get, words))
+        missing = [i for i, g in enumerate(got) if g is None]
+        more, marked = set(), []
+        for i in missing:
+            w = words[i]
+            known = old.get(w)
+            if known is None:
+                letters = w[:-1]
+                if w[-1:] in _MARKS and letters.isalpha():
+                    marked.append(i)
+                    if letters not in young and letters not in old:
+                        more.add(letters)
+                else:
+                    more.add(w)
+                continue
+            young[w] = got[i] = known
+        here = self._fresh(list(more))
+        young.update((w, ids) for w, ids in here.items() if len(w) <= self.LONGEST)
+        of = lambda w: here[w] if w in here else young[w] if w in young else old[w]
+        for i in marked:
+            w = words[i]
+            got[i] = of(w[:-1]) + self.marks[w[-1]]
+            if len(w) <= self.LONGEST:
+                young[w] = got[i]
+        for i in missing:
+            if got[i] is None:
+                got[i] = here[words[i]]
         if len(young) > self.bound:
             self.young, self.old = {}, young
-        return out
+        return got
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        odd = [bool(_ODD.search(t)) for t in texts]
+        whole = iter(self.library.encode_batch_fast([t for t, o in zip(texts, odd, strict=True) if o], add_special_tokens=False))
+        cut = pc.split_pattern(pa.array([t for t, o in zip(texts, odd, strict=True) if not o], pa.string()), " ")
+        bounds = cut.offsets.to_numpy()
+        coded = cut.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        which = coded.indices.to_numpy().copy()
+        # A text's first word stands after nothing.
+        firsts = [words[i] for i in which[bounds[:-1]].tolist()]
+        which[bounds[:-1]] = len(words) + np.arange(len(firsts))
+        starts = [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(firsts, add_special_tokens=False)]
+        table = self._known(words) + starts
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat = np.frombuffer(b"".join(table), "<u4")
+        begin = (np.cumsum(sizes) - sizes).astype(np.int32)
+        each = sizes[which]
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(begin[which] - (ends - each).astype(np.int32), each) + np.arange(int(each.sum()), dtype=np.int32)]
+        edges = np.concatenate([[0], ends])[bounds]
+        plain = (ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+        return [np.asarray(next(whole).ids, "<u4") if o else next(plain) for o in odd]
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_batch([text])[0], "<u4").tolist()
+        return self.encode_batch([text])[0].tolist()
 
 
 @lru_cache(maxsize=2)
@@ -168,12 +215,12 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, kind
             ids.clear()
             return pd.DataFrame([row])
 
-        end = np.asarray([end_id], "<u4").tobytes()
+        end = np.asarray([end_id], "<u4")
         for frame in frames:
             for at in range(0, len(frame), TOGETHER):
                 part = frame.iloc[at : at + TOGETHER]
-                for doc_id, raw in zip(part["doc_id"], tok.encode_batch(part["text"].tolist()), strict=True):
-                    one = np.frombuffer(raw + end, "<u4")
+                for doc_id, got in zip(part["doc_id"], tok.encode_batch(part["text"].tolist()), strict=True):
+                    one = np.concatenate([got, end])
                     held.append(one)
                     ids.append(None if pd.isna(doc_id) else int(doc_id))
                     state["held"] += len(one)

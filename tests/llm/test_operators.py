@@ -230,10 +230,11 @@ def test_planes_round_trip_and_compress():
 
 def test_file_tokenizer_memo_is_exact():
     tok, rng = bitplanes.FileTokenizer(JSON, bound=200), random.Random(4)
-    parts = ["word", "Wörter", " ", "  ", "\n", "\n\n", "\t", "9", "'s", "!?", "<|endoftext|>", " ", "\r\n"]
-    for _ in range(200):
-        text = "".join(rng.choice(parts) for _ in range(60))
-        assert tok.encode(text) == tok.library.encode(text, add_special_tokens=False).ids
+    parts = ["word", "Wörter", " ", " ", " ", "\n", "\n\n", "\t", "9", "'s", "!?", ".", ",", "<|endoftext|>", "\u00a0", "\r\n", "\x1c", "日本", "x" * 60]
+    for one in range(300):
+        texts = ["".join(rng.choice(parts if one % 2 else parts[:9] + parts[11:13]) for _ in range(rng.randrange(60))) for _ in range(rng.randrange(4))]
+        got = tok.encode_batch(texts)
+        assert [g.tolist() for g in got] == [tok.library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_fingerprints_with_neighbours(docs, empty, rows):
