@@ -94,3 +94,41 @@ def compass(degrees: Column) -> Column:
 def tiles_overlap(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Whether the 3x3 mosaics around two tiles share one."""
     return F.greatest(F.abs(ax - bx), F.abs(ay - by)) < 3
+
+
+def square(low: int, high: int) -> Column:
+    """Array of (i, j) offsets of a square of tiles, row by row."""
+    span = range(low, high + 1)
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in span for i in span])
+
+
+def in_world(x: Column, y: Column, zoom: int) -> Column:
+    return x.between(0, (1 << zoom) - 1) & y.between(0, (1 << zoom) - 1)
+
+
+def tile_centre(x: Column, y: Column, zoom: int) -> tuple[Column, Column]:
+    """(lat, lon) of a tile's middle."""
+    return lat_of((y + 0.5) * TILE, zoom), lon_of((x + 0.5) * TILE, zoom)
+
+
+def satellite_pixel(v: Column) -> Column:
+    """A radar pixel (zoom 7) in satellite pixels (zoom 5)."""
+    return v / 4
+
+
+def satellite_tiles(x: Column, y: Column, margin: int) -> Column:
+    """Array of the satellite tiles (x, y) under the 3x3 radar tiles around a centre, with a margin in
+    satellite pixels: x goes round the world, y ends at its edges, each once."""
+    low = lambda v: F.floor(((v - 1) * (TILE // 4) - margin) / TILE)
+    high = lambda v: F.floor(((v + 2) * (TILE // 4) + margin - 1) / TILE)
+    columns = F.transform(F.sequence(low(x), high(x)), lambda i: F.pmod(i, F.lit(32)))
+    rows = F.filter(F.sequence(low(y), high(y)), lambda j: j.between(0, 31))
+    pairs = F.transform(columns, lambda i: F.transform(rows, lambda j: F.struct(i.cast("int").alias("x"), j.cast("int").alias("y"))))
+    return F.array_distinct(F.flatten(pairs))
+
+
+def parsed_place(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """(lat, lon) of two texts, to 1e-4; both null unless both are numbers within +-85 and +-180."""
+    a, b = lat.try_cast("double"), lon.try_cast("double")
+    fits = a.between(-85, 85) & b.between(-180, 180)
+    return F.when(fits, F.round(a, 4)), F.when(fits, F.round(b, 4))

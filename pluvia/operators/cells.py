@@ -59,3 +59,31 @@ def overlap_links(pixels: DataFrame, dx: int = 0, dy: int = 0, share: float = 0.
     now = size.select("k", F.col("cell").alias("b"), F.col("area").alias("area_b"))
     linked = met.join(was, ["k", "a"]).join(now, ["k", "b"])
     return linked.where(F.col("both") >= share * F.least("area_a", "area_b")).select("k", "a", "b", "both")
+
+
+def lifecycle(pixels: DataFrame, back: int, minutes: float) -> DataFrame:
+    """(k, cell, age, rate_dbz, rate_area, is_new, merged, split, decaying) of each cell.
+
+    A cell's history runs through its main ancestors, the largest of the cells that flow into it
+    (the lower number on ties), `back` frames at most; slopes are least squares over it, 0 for a new
+    cell. Each step back is one join by frame and cell.
+    """
+    size = pixels.groupBy("k", "cell").agg(F.count("*").alias("area"), F.avg("dbz").alias("mean"))
+    links = overlap_links(pixels).select("k", "a", "b").join(size.select((F.col("k") + 1).alias("k"), F.col("cell").alias("a"), "area"), ["k", "a"])
+    parents = links.groupBy("k", "b").agg(F.count("*").alias("parents"), F.max_by("a", F.struct("area", -F.col("a"))).alias("main"))
+    children = links.groupBy("k", "a").agg(F.count("*").alias("children"))
+    history = step = size.select("k", "cell", F.lit(0).alias("back"), F.col("cell").alias("at"), "mean", "area")
+    for i in range(back):
+        up = parents.select(F.col("k").alias("pk"), F.col("b").alias("pb"), "main")
+        older = size.select(F.col("k").alias("ok"), F.col("cell").alias("oc"), F.col("mean").alias("om"), F.col("area").alias("oa"))
+        met = step.join(up, (F.col("pk") == F.col("k") - i) & (F.col("pb") == F.col("at"))).join(older, (F.col("ok") == F.col("k") - i - 1) & (F.col("oc") == F.col("main")))
+        step = met.select("k", "cell", F.lit(i + 1).alias("back"), F.col("main").alias("at"), F.col("om").alias("mean"), F.col("oa").alias("area"))
+        history = history.unionByName(step)
+    x = F.col("back") * -minutes
+    slope = lambda c: F.round(F.coalesce(F.regr_slope(F.col(c), x), F.lit(0.0)), 6)
+    lives = history.groupBy("k", "cell").agg(F.count("*").cast("int").alias("age"), slope("mean").alias("rate_dbz"), slope("area").alias("rate_area"))
+    of = lives.join(parents.withColumnRenamed("b", "cell"), ["k", "cell"], "left").join(children.withColumnRenamed("a", "main"), ["k", "main"], "left")
+    n = F.coalesce("parents", F.lit(0))
+    return of.select(
+        "k", "cell", "age", "rate_dbz", "rate_area", (n == 0).alias("is_new"), (n >= 2).alias("merged"), (F.coalesce("children", F.lit(0)) >= 2).alias("split"), ((F.col("rate_dbz") < 0) & (F.col("rate_area") < 0)).alias("decaying")
+    )

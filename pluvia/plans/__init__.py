@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from pluvia.plans import registry, nowcasts  # noqa: F401, I001  (nowcasts adds to registry)
+from pluvia.plans import registry, nowcasts, scores, places, kernels  # noqa: F401, I001  (each adds to registry)

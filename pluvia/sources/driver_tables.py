@@ -50,3 +50,44 @@ LATTICE_SQL = "SELECT floor(epoch(ts))::BIGINT // 21600 AS k, (user_id % 12)::IN
 FRAMES_SQL = "SELECT DISTINCT (user_id % 12)::INT AS region, floor(epoch(ts))::BIGINT // 600 * 600 AS t FROM events"
 FORECASTS_SQL = """SELECT (l_suppkey % 10)::INT AS region, floor(epoch(l_shipdate))::BIGINT AS t, l_returnflag AS variant, (least(l_linenumber, 6) * 10)::INT AS lead,
 round(l_discount * 600) AS fc, round(l_tax * 750) AS obs, abs(round(l_discount * 10, 2)) AS prob FROM lineitem"""
+
+
+#: Forecast variants of the members view, in order; the last stands for persistence.
+VARIANTS = ["HS", "LK", "TREC"]
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(region, t, point, lead, variant, fc, obs, prob): three forecasts of each point and lead."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")])
+    hs, trec = F.floor("l_quantity").cast("double"), F.floor(F.col("l_extendedprice") % 60).cast("double")
+    lk = F.round(F.col("l_discount") * 600)
+    made = [("HS", hs, hs / 50), ("LK", lk, F.abs(F.round(F.col("l_discount") * 10, 2))), ("TREC", trec, trec / 60)]
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), fc.alias("fc"), p.alias("prob")) for v, fc, p in made])).alias("m")
+    return li.select(
+        (F.col("l_orderkey") % 10).cast("int").alias("region"),
+        (F.col("l_orderkey") * 600).alias("t"),
+        F.col("l_orderkey").alias("point"),
+        (F.col("l_linenumber") * 10).cast("int").alias("lead"),
+        each,
+        F.round(F.col("l_tax") * 750).alias("obs"),
+    ).select("region", "t", "point", "lead", "m.variant", "m.fc", "obs", "m.prob")
+
+
+def full_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, x, y, fc, obs) of every place of the lattice: each frame against the next one that is
+    there, absent cells without echo."""
+    cells = lattice(spark, sf_dir)
+    rows = F.explode(F.sequence(F.lit(0), F.lit(cells.agg(F.max("y")).first()[0]))).alias("y")
+    frames_ = cells.select("k").distinct()
+    places = frames_.select("k", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("x")).select("k", "x", rows)
+    later = cells.select((F.col("k") - 1).alias("k"), "x", "y", F.col("dbz").alias("obs"))
+    both = places.join(frames_.select((F.col("k") - 1).alias("k")), "k", "left_semi").join(cells, ["k", "x", "y"], "left").join(later, ["k", "x", "y"], "left")
+    return both.select("k", "x", "y", F.coalesce("dbz", F.lit(-32.0)).alias("fc"), F.coalesce("obs", F.lit(-32.0)).alias("obs"))
+
+
+MEMBERS_SQL = """SELECT (l_orderkey % 10)::INT AS region, l_orderkey * 600 AS t, l_orderkey AS point, (l_linenumber * 10)::INT AS lead, v.variant,
+CASE v.variant WHEN 'HS' THEN floor(l_quantity) WHEN 'LK' THEN round(l_discount * 600) ELSE floor(l_extendedprice % 60) END AS fc, round(l_tax * 750) AS obs,
+CASE v.variant WHEN 'HS' THEN floor(l_quantity) / 50 WHEN 'LK' THEN abs(round(l_discount * 10, 2)) ELSE floor(l_extendedprice % 60) / 60 END AS prob
+FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, min(l_extendedprice) AS l_extendedprice, min(l_discount) AS l_discount, min(l_tax) AS l_tax FROM lineitem GROUP BY ALL), (VALUES ('HS'), ('LK'), ('TREC')) AS v(variant)"""
+GRID_SQL = f"""SELECT p.k, p.x, p.y, coalesce(a.dbz, -32) AS fc, coalesce(b.dbz, -32) AS obs FROM (SELECT k, x::INT AS x, y::INT AS y FROM (SELECT DISTINCT k FROM ({LATTICE_SQL})), range(12) AS i(x), range((SELECT max(user_id // 12) + 1 FROM events)) AS j(y)) AS p
+JOIN (SELECT DISTINCT k - 1 AS k FROM ({LATTICE_SQL})) AS n ON n.k = p.k LEFT JOIN ({LATTICE_SQL}) AS a ON a.k = p.k AND a.x = p.x AND a.y = p.y LEFT JOIN ({LATTICE_SQL}) AS b ON b.k = p.k + 1 AND b.x = p.x AND b.y = p.y"""
