@@ -170,8 +170,8 @@ def cel_costs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{_CELLS}, li AS (SELECT b.k, a.cell AS a, b.cell AS b, count(*) AS n FROM p AS a JOIN p AS b ON b.k = a.k + 1 AND b.x = a.x AND b.y = a.y GROUP BY ALL), lk AS (SELECT li.* , x.area FROM li JOIN cc AS x ON x.k = li.k - 1 AND x.cell = li.a JOIN cc AS y ON y.k = li.k AND y.cell = li.b WHERE n >= 0.3 * least(x.area, y.area)),
 pr AS (SELECT k, b, count(*) AS parents, arg_max(a, area * 10000 - a) AS main FROM lk GROUP BY ALL), ch AS (SELECT k, a, count(*) AS children FROM lk GROUP BY ALL),
 hist AS (SELECT cc.k, cc.cell, 0 AS back, cc.cell AS at, cc.mean, cc.area FROM cc UNION ALL SELECT r.k, r.cell, r.back + 1, pr.main, c2.mean, c2.area FROM hist AS r JOIN pr ON pr.k = r.k - r.back AND pr.b = r.at JOIN cc AS c2 ON c2.k = r.k - r.back - 1 AND c2.cell = pr.main WHERE r.back < 3),
-s AS (SELECT k, cell, count(*)::INT AS age, round(coalesce(regr_slope(mean, -10.0 * back), 0), 6) AS rate_dbz, round(coalesce(regr_slope(area, -10.0 * back), 0), 6) AS rate_area FROM hist GROUP BY ALL)
-SELECT s.*, coalesce(parents, 0) = 0 AS is_new, coalesce(parents, 0) >= 2 AS merged, coalesce(children, 0) >= 2 AS split, rate_dbz < 0 AND rate_area < 0 AS decaying FROM s LEFT JOIN pr ON pr.k = s.k AND pr.b = s.cell LEFT JOIN ch ON ch.k = s.k AND ch.a = pr.main""".replace("SELECT s.*, coalesce", "SELECT s.k, s.cell, age, rate_dbz, rate_area, coalesce"))
+life AS (SELECT k, cell, count(*)::INT AS age, CASE WHEN count(*) < 2 THEN 0 ELSE round(regr_slope(mean, -10.0 * back), 6) END AS rate_dbz, CASE WHEN count(*) < 2 THEN 0 ELSE round(regr_slope(area, -10.0 * back), 6) END AS rate_area FROM hist GROUP BY ALL)
+SELECT s.*, coalesce(parents, 0) = 0 AS is_new, coalesce(parents, 0) >= 2 AS merged, coalesce(children, 0) >= 2 AS split, rate_dbz < 0 AND rate_area < 0 AS decaying FROM life AS s LEFT JOIN pr ON pr.k = s.k AND pr.b = s.cell LEFT JOIN ch ON ch.k = s.k AND ch.a = pr.main""".replace("SELECT s.*, coalesce", "SELECT s.k, s.cell, age, rate_dbz, rate_area, coalesce"))
 def cel_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     """Age, origin and slopes of each cell along its main ancestors, three frames back at most."""
     return cells.lifecycle(cells.labelled(src.lattice(spark, d)), 3, 10.0)
