@@ -1,13 +1,14 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact intersection.
 
 A document is the set of its word shingles, as sorted 64-bit hashes. Equal sets are one
-class. All shingles have one order: by how common they are, as a fixed number of counters over
-all texts tells, then by hash. Two sets of similarity J or more share one of the first
-n - ceil(J * n) + 1 shingles of each in any such order, and in this one the passages that many
-texts share come last. Classes are laid out in bands of set size. (band, shingle) names a tile;
-a class stands in the tiles of its own band and, if it can have larger partners there, of the
-next, with its first shingles. So every linked pair meets in a tile, and nothing is capped;
-the counters decide only how many others meet there.
+class. Classes are laid out in bands of set size: a class stands in its own band and, if it can
+have larger partners there, in the next. Two sets in a band that are similar enough differ in at
+most d members, d following from the largest size of the band. The hash space is cut into more
+than d parts, so at least one part holds the same members of both: (band, part, its members) names
+a tile, and every linked pair meets in one. Texts that merely share some phrases meet in none, as
+a part has several members (at 90 %, eight or so). Parts that are empty in both say nothing: there
+are as many more parts as a set may have empty ones, and a set with still more stands in the tiles
+of its empty parts too, so nothing is lost.
 
 Inside the tiles no set of all pairs is made at first: each class's candidates are the tile's
 smallest class and its hub, the class of whose own tiles the largest share is held by others
@@ -42,9 +43,6 @@ from pluvia.llm.components import components
 #: Most 64-bit parts of the bitmap that goes to the tiles.
 MIDDLE = 16
 NO_ID = -(1 << 63)
-#: Counters of shingles, a byte each in every task.
-BUCKETS = 1 << 20
-_BUCKET = np.uint64(BUCKETS - 1)
 #: Shared tiles (8 bytes each) or names of sets (32 bytes each) that are sent to every task at
 #: most; more are met in a shuffle.
 MOST_SENT = 500_000
@@ -114,6 +112,12 @@ class Bands:
             self.edge.append(max(self.edge[-1] + 1, math.ceil(self.edge[-1] * self.ratio)))
         return next(b for b in range(len(self.edge) - 1, -1, -1) if self.edge[b] <= n)
 
+    def span(self, b: int) -> tuple[int, int]:
+        """Least and greatest size of a band."""
+        while len(self.edge) < b + 2:
+            self.of(self.edge[-1])
+        return self.edge[b], self.edge[b + 1] - 1
+
     def homes(self, n: int) -> list[int]:
         """The band of n, and those above in which a set of n can have partners."""
         b = own = self.of(n)
@@ -124,36 +128,31 @@ class Bands:
         return list(range(own, b + 1))
 
 
-def tiles(s: np.ndarray, bands: Bands, percent: int, level: np.ndarray) -> np.ndarray:
-    """The hashed names of the tiles of a set."""
-    first = len(s) + percent * len(s) // -100 + 1
-    order = np.argsort(level[(s & _BUCKET).astype(np.int64)], kind="stable")[:first]
-    chosen = s[order]
-    return np.concatenate([mix64(chosen + mix64(np.full(1, b + 1, np.uint64))) for b in bands.homes(len(s))]).view(np.int64)
-
+def parts_of(low: int, high: int, percent: int) -> tuple[int, int]:
+    """(parts, empty ones allowed) for sets of low to high members: linked ones differ in fewer parts
+    than are left when those are taken off."""
+    differ = 2 * high * (100 - percent) // (100 + percent)
+    spare = 1
+    for _ in range(3):
+        parts = differ + 1 + spare
+        empty = parts * math.exp(-low / parts)
+        spare = 1 + math.ceil(empty + 3 * math.sqrt(empty))
+    return differ + 1 + spare, spare
 
-def commonness(docs: DataFrame, n: int) -> np.ndarray:
-    """For each of BUCKETS counters, log2 of how many shingles (counted once a text) fall there
-    beyond what is usual, 0 for most.
-
-    A task names only its counters that stand out against its own mean, so what is shuffled is
-    small; the driver gets one number for a counter, BUCKETS at most.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(BUCKETS, np.int64)
-        for whole in batches:
-            for batch in small(whole, 2048):
-                got = np.concatenate(shingle_sets(batch.column(0), n))
-                seen += np.bincount((got & _BUCKET).astype(np.int64), minlength=BUCKETS)
-        usual = seen.mean()
-        out = np.flatnonzero(seen > usual + 5 * usual**0.5 + 2)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(seen[out])], names=["bucket", "seen"])
-
-    found = docs.select("text").mapInArrow(run, "bucket long, seen long").groupBy("bucket").agg(F.log2(F.sum("seen")).cast("int").alias("level")).toPandas()
-    level = np.zeros(BUCKETS, np.uint8)
-    level[found["bucket"].to_numpy(np.int64)] = found["level"].to_numpy(np.uint8)
-    return level
+def tiles(s: np.ndarray, bands: Bands, percent: int) -> np.ndarray:
+    """The hashed names of the tiles of a set."""
+    mixed, out = mix64(s), []
+    for b in bands.homes(len(s)):
+        low, high = bands.span(b)
+        parts, spare = parts_of(max(1, math.ceil(low * percent / 100)), high, percent)
+        of = ((s >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+        inside = np.zeros(parts, np.uint64)
+        np.add.at(inside, of, mixed)
+        full = np.bincount(of, minlength=parts) > 0
+        named = np.arange(parts, dtype=np.uint64) if parts - np.count_nonzero(full) > spare else np.flatnonzero(full).astype(np.uint64)
+        out.append(mix64(inside[named.astype(np.int64)] + mix64(named * np.uint64(1 << 20) + np.uint64(b + 1))))
+    return np.concatenate(out).view(np.int64)
 
 
 _SIGNATURE = "struct<n:long,hi:long,lo:long,bits:array<long>,whole:array<long>,tiles:array<long>>"
@@ -161,16 +160,15 @@ _SIGNATURE = "struct<n:long,hi:long,lo:long,bits:array<long>,whole:array<long>,t
 
 def described(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """docs with a column _set: n (set size), hi, lo (the set's key), bits and whole (a
-    narrow and a wide bitmap), tiles; a pass for the counters and one for the rows, neither of
-    which shuffles them. Written once, with a column _row that numbers the rows."""
-    level = docs.sparkSession.sparkContext.broadcast(commonness(docs, n))
+    narrow and a wide bitmap), tiles; one pass, no shuffle. Written once, with a column _row that
+    numbers the rows."""
 
     def signed(texts: pa.Array) -> pa.Array:
         bands, columns = Bands(percent / 100), [[] for _ in range(6)]
         for at in range(0, len(texts), 2048):
             for s in shingle_sets(texts[at : at + 2048], n):
                 whole = bitmap(s, wide_parts(len(s))) if len(s) else None
-                row = (len(s), *set_key(s), folded_to(whole, narrow_parts(len(s))) if len(s) else None, whole, tiles(s, bands, percent, level.value) if len(s) else None)
+                row = (len(s), *set_key(s), folded_to(whole, narrow_parts(len(s))) if len(s) else None, whole, tiles(s, bands, percent) if len(s) else None)
                 for c, v in zip(columns, row, strict=True):
                     c.append(v)
         kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 3
