@@ -46,12 +46,36 @@ def safe_pieces(text: str, target: int = LONG) -> Iterator[str]:
     yield text[at:]
 
 
+#: White space that is cut out by hand.
+_RUN = regex.compile(r"\p{White_Space}{4096,}+")
+
+
+def without_long_runs(text: str) -> Iterator[tuple[str, bool]]:
+    """Parts of the text one after another, and whether a part is a single match of white space."""
+    at = 0
+    for m in _RUN.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        if m.start() > at:
+            yield text[at : m.start()], False
+        yield text[m.start() : end], True
+        at = end
+    if at < len(text):
+        yield text[at:], False
+
+
 def encode_text(enc: tiktoken.Encoding, text: str | None) -> list[int]:
     if not text:
         return []
     if len(text) <= LONG:
         return enc.encode_ordinary(text)
-    return [i for piece in safe_pieces(text) for i in enc.encode_ordinary(piece)]
+    out: list[int] = []
+    for part, run in without_long_runs(text):
+        if run:
+            out += enc._encode_single_piece(part.encode())
+        else:
+            for piece in safe_pieces(part):
+                out += enc.encode_ordinary(piece)
+    return out
 
 
 def _small(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
