@@ -3,11 +3,12 @@
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so its size
 follows the document's, two sketches can be merged by union, and the share of one found
 in another estimates containment however unequal the documents are. Shingles are runs
-of WIDTH code points. A text that has shingles but none under the threshold keeps its
-smallest hash, which still merges by union.
+of WIDTH code points. A text may have no shingle under the threshold: its sketch is empty, and
+its fingerprint then is its length and a hash of it, so that texts are told apart.
 
 Defined results: null and empty texts have an empty sketch; a text shorter than WIDTH is
-one shingle; two empty sketches are alike (1.0), an empty and another are not (0.0).
+one shingle; two empty sketches are alike (1.0) if their texts are equal, else not (0.0); an
+empty one and another are not.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,16 +47,12 @@ def sketch(text: str | None, shingle: int = WIDTH, fraction: float = FRACTION) -
     """Sorted distinct kept hashes; the low half of the bits is cut off, as the top ones decide."""
     if not text:
         return np.empty(0, np.uint64)
-    limit, kept, least = np.uint64(int(fraction * 2**64) - 1), [], None
-    for h in shingle_hashes(text, shingle):
-        kept.append(h[h <= limit])
-        least = h.min() if least is None else min(least, h.min())
-    got = np.unique(np.concatenate(kept))
-    return got if len(got) else np.array([least], np.uint64)
+    limit = np.uint64(int(fraction * 2**64) - 1)
+    return np.unique(np.concatenate([h[h <= limit] for h in shingle_hashes(text, shingle)]))
 
 
 def merge(*sketches: np.ndarray) -> np.ndarray:
-    """The sketch of all the documents together (a lone smallest hash stays, harmlessly)."""
+    """The sketch of all the documents together."""
     return np.unique(np.concatenate(sketches)) if sketches else np.empty(0, np.uint64)
 
 
@@ -74,8 +72,16 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / whole if whole else 1.0
 
 
-def text_of(s: np.ndarray) -> str:
-    return s.astype(">u8").tobytes().hex()
+def fingerprint(s: np.ndarray, text: str | None) -> str:
+    """The sketch as text, or what stands for an empty one."""
+    if len(s) or not text:
+        return s.astype(">u8").tobytes().hex()
+    return f"~{len(text)}:{xxhash.xxh3_128_hexdigest(text.encode('utf-8', 'surrogatepass'))}"
+
+
+def text_likeness(a: np.ndarray, b: np.ndarray, one: str, other: str) -> float:
+    """likeness of two texts' sketches, by the texts themselves where both are empty."""
+    return likeness(a, b) if len(a) or len(b) else float(one == other)
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDTH, fraction: float = FRACTION) -> DataFrame:
@@ -153,7 +159,7 @@ def neighbour_sketches(docs: DataFrame, shingle: int = WIDTH, fraction: float =
                     half = len(own) // 2
                     edited = own[: len(own) - half] + text[:half]
                     e = sketch(edited, shingle, fraction)
-                    out.append((None if k == least else k, len(own), edited, text_of(s), text_of(e), likeness(s, e), likeness(s, mine)))
+                    out.append((None if k == least else k, len(own), edited, fingerprint(s, own), fingerprint(e, edited), text_likeness(s, e, own, edited), text_likeness(s, mine, own, text)))
                 held, done = (None, part) if tail else ((part, key, text, mine), done)
             if out:
                 frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])

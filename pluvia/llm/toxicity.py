@@ -92,7 +92,12 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_labelled: int =
     clean = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"), folds))
     marks = clean.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
     chosen = marks.orderBy(stable_long("label_id"), "label_id").limit(max_labelled)
-    pool = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("label_id")).select("text", (F.col("toxic") > 0).alias("pos"))
+    # Rows of one id are many texts, or one many times: ids and hashes are chosen first, so neither
+    # what is sent to every task nor what is fitted on grows with them.
+    keys = docs.select("doc_id", F.xxhash64("text").alias("th")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    picked = keys.select("label_id", "th", "toxic").distinct().orderBy(stable_long("label_id"), "label_id", "th").limit(max_labelled)
+    found = docs.select("doc_id", "text").withColumn("th2", F.xxhash64("text")).join(F.broadcast(picked), (F.col("doc_id") == F.col("label_id")) & (F.col("th2") == F.col("th")))
+    pool = found.groupBy("label_id", "th").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", (F.col("toxic") > 0).alias("pos"))
 
     def seen(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

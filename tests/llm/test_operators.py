@@ -41,6 +41,18 @@ def test_bpe_long_text_is_cut_safely():
         assert [i for p in bpe.safe_pieces(text, 50) for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
 
+def test_bpe_takes_very_long_white_space():
+    enc = bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    for text in ("a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "a" + "\n " * 1_000_000 + "\u00e9"):
+        assert enc.decode_bytes(bpe.encode_text(enc, text)) == text.encode()
+    rng = random.Random(6)
+    for _ in range(30):  # the same rule on runs that the library itself can take
+        runs = ["".join(rng.choice(" \n\t") for _ in range(rng.randrange(4090, 4200))) for _ in range(3)]
+        text = "x" * 10 + runs[0] + "word " + runs[1] + "9" * 10 + rng.choice(["", "z"]) + runs[2]
+        parts = [i for part, run in bpe.without_long_runs(text) for i in (enc._encode_single_piece(part.encode()) if run else enc.encode_ordinary(part))]
+        assert parts == enc.encode_ordinary(text)
+
+
 def test_toxicity_learns_and_takes_anything(spark, docs, empty, labels):
     rng = random.Random(1)
     bad = ["vile", "grim", "foul"]
@@ -245,7 +257,7 @@ def test_fingerprints_with_neighbours(docs, empty, rows):
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         a, b, c = (sketch.sketch(t) for t in (text, edited, after))
-        want.append((r[0], len(text), edited, sketch.text_of(a), sketch.text_of(b), sketch.likeness(a, b), sketch.likeness(a, c)))
+        want.append((r[0], len(text), edited, sketch.fingerprint(a, text), sketch.fingerprint(b, edited), sketch.text_likeness(a, b, text, edited), sketch.text_likeness(a, c, text, after)))
     assert Counter(map(tuple, sketch.neighbour_sketches(docs).collect())) == Counter(want)
     assert sketch.neighbour_sketches(empty).count() == 0
 
@@ -367,6 +379,28 @@ def test_sharding(spark, docs, empty, rows):
     for _, part in placed.groupby("shard"):
         assert sorted(part["slot"]) == list(range(len(part)))
     assert sharding.assign(empty).count() == 0
+    # A third of the rows are one row many times.
+    hot = [(7, "hot text " * 3)] * 6000 + [(i, f"own {i} " * 5) for i in range(100, 8100)]
+    placed = sharding.assign(spark.createDataFrame(hot, "doc_id long, text string")).toPandas()
+    sizes = placed.groupby("shard")["size"].sum()
+    assert len(sizes) == 24 and sizes.max() / sizes.min() < 1.1
+    for _, part in placed.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+
+
+def test_packing_places_by_dot_product():
+    """Against a plain loop over the same rule."""
+    rng = np.random.default_rng(5)
+    items = rng.integers(1, 100, (60, 3)).astype(float)
+    sizes = items / items.sum(0) * 5
+    left, want = np.ones((5, 3)), {}
+    for i in sorted(range(60), key=lambda i: (-sizes[i].max(), i)):
+        best = max(range(5), key=lambda b: (left[b][0] >= sizes[i][0], float(left[b] @ sizes[i]), -b))
+        if not any(left[b][0] >= sizes[i][0] for b in range(5)):
+            best = max(range(5), key=lambda b: (float(left[b] @ sizes[i]), -b))
+        want[i] = best
+        left[best] -= sizes[i]
+    assert sharding.pack(items, 5).tolist() == [want[i] for i in range(60)]
 
 
 def levenshtein(a, b):
@@ -478,3 +512,52 @@ def test_line_dedup_grows_with_the_line(spark):
 
 def test_nothing_is_left_outside_the_shared_folder(spark):
     assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Each stage on what the one before kept."""
+    import hashlib
+
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    words = [f"word{i}" for i in range(3000)]
+    made = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [made(70) + "\n" + made(60) for _ in range(25)]
+    texts += [t + " tail" for t in texts[:5]]  # near copies
+    texts += [made(60) + "\n" + texts[6].split("\n")[0] for _ in range(3)]  # a line that stands elsewhere
+    texts += ["too short", None, ""]
+    rows = [(i, t, "en", f"s{i % 3}", None if t is None else len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality_rules", "line_dedup", "ngram_join", "mixing", "bpe"]
+    held = {i: t for i, t in enumerate(texts) if t and len(t.split()) >= 50}  # too few labels for any cutoff
+    firsts, lines = {}, {}
+    for i, t in held.items():
+        for no, line in enumerate(t.split("\n")):
+            firsts.setdefault(line, (i, no))
+    close = lambda x, y: abs(len(x) - len(y)) <= graded_reference(min(len(x), len(y))) and levenshtein(x, y) <= graded_reference(min(len(x), len(y)))
+    for line, at in firsts.items():
+        if not any(o < at and close(x, line) for x, o in firsts.items()):
+            lines.setdefault(at[0], []).append((at[1], line))
+    deduped = {i: "\n".join(x for _, x in sorted(v)) for i, v in lines.items()}
+    order = sorted(deduped)
+    _, root = brute_components([(i, deduped[i]) for i in order], 5, 80)
+    kept = {order[k]: deduped[order[k]] for k in set(root)}
+    for (name, stage), want in zip(corpus_pipeline.STAGES, (held, deduped, kept, None, None), strict=True):
+        before, docs = docs, stage(spark, docs, str(tmp_path))
+        if want is not None:
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            assert {r["doc_id"]: r["text"] for r in docs.collect()} == want and docs.count() == len(want)
+        elif name == "mixing":
+            times = Counter(r["doc_id"] for r in docs.collect())
+            assert set(times) == set(kept) and set(times.values()) <= {1, 2}
+        else:
+            enc = bpe.encoding(RANKS, public_tokenizers.PATTERN)
+            got = docs.collect()
+            assert len(got) == before.count()
+            for r in got:
+                ids = enc.encode_ordinary(kept[r["doc_id"]])
+                assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(kept[r["doc_id"]].encode()).hexdigest())
