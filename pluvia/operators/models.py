@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from pluvia.operators.scores import safe
 
@@ -96,7 +97,7 @@ def thinned(quiet: Column, key: Column, share: float = 0.05) -> tuple[Column, Co
     return ~quiet | kept, F.when(quiet, 1 / share).otherwise(1.0)
 
 
-@F.pandas_udf("decimal(20,0)")
+@F.pandas_udf(DecimalType(20, 0))
 def fnv1a(key: pd.Series) -> pd.Series:
     """The 64-bit FNV-1a hash of texts, all rows a byte at a time."""
     import decimal

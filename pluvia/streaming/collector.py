@@ -68,3 +68,38 @@ def rain_state(frames: DataFrame) -> DataFrame:
         yield pd.DataFrame(rows, columns=["region", "t", "rainy", "last_rain", "dry", "given_up"])
 
     return frames.groupBy("region").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+#: What region_state keeps and gives.
+REGION_STATE = "newest long, last_rain long, checked long"
+REGION_OUT = "region int, t long, rainy boolean, last_rain long, checked long, given_up boolean"
+
+
+def region_state(frames: DataFrame, hold: int = RAIN_MEMORY, keep: str = "24 hours", late: str = "1 hour") -> DataFrame:
+    """frames (region, t, rainy, ts) -> a row for each frame in order of t: when it last rained (-1:
+    never), how many frames were looked at, and whether the region is given up: after DRY_CHECKS
+    frames without any rain, or when its rain is more than `hold` past.
+
+    A frame no newer than one seen before changes nothing and gives no row. A region's state ends
+    when the watermark of ts is `keep` past its newest frame.
+    """
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        newest, last, checked = state.get if state.exists else (-1, -1, 0)
+        rows, until = [], 0
+        for t, rainy, at in sorted((int(t), bool(r), at.value // 10**6) for b in batches for t, r, at in zip(b["t"], b["rainy"], b["ts"], strict=True)):
+            until = max(until, at)
+            if t <= newest:
+                continue
+            newest, checked = t, checked + 1
+            last = t if rainy else last
+            rows.append((key[0], t, rainy, last, checked, checked >= DRY_CHECKS if last < 0 else t - last > hold))
+        state.update((newest, last, checked))
+        state.setTimeoutTimestamp(max(until + keep_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=["region", "t", "rainy", "last_rain", "checked", "given_up"])
+
+    return frames.withWatermark("ts", late).groupBy("region").applyInPandasWithState(step, REGION_OUT, REGION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
