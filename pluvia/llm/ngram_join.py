@@ -43,8 +43,7 @@ from pluvia.llm.components import components
 #: Most 64-bit parts of the bitmap that goes to the tiles.
 MIDDLE = 16
 NO_ID = -(1 << 63)
-#: Shared tiles (8 bytes each) or names of sets (32 bytes each) that are sent to every task at
-#: most; more are met in a shuffle.
+#: Numbers of rows (8 bytes each) that are sent to every task at most; more are met in a shuffle.
 MOST_SENT = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -261,8 +260,7 @@ def class_components(rows: DataFrame, n: int, percent: int) -> DataFrame:
     # copies, which have the same hi, do not make a tile shared.
     placed = rows.where("_set.n > 0").select(F.col("_row").alias("uid"), "_set.hi", F.size("_set.tiles").alias("in_all"), F.explode("_set.tiles").alias("tile"))
     shared = materialise(placed.groupBy("tile").agg(F.min("hi").alias("x"), F.max("hi").alias("y")).where("x < y").select("tile"), "shared-tiles")
-    side = F.broadcast(shared) if shared.count() <= MOST_SENT else shared
-    found = placed.select("uid", "tile", "in_all").join(side, "tile").join(classes.select("uid"), "uid", "left_semi")
+    found = placed.select("uid", "tile", "in_all").join(shared, "tile").join(classes.select("uid"), "uid", "left_semi")
     # A window holds the tiles of one class.
     found = materialise(found.withColumn("share", F.count("*").over(W.partitionBy("uid")) / F.col("in_all")).drop("in_all"), "tile-rows")
     release(shared)
