@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvia.functions import geo, radar
-from pluvia.operators import raster, series, verification
+from pluvia.operators import raster, scores, series, verification
 from pluvia.sources import driver_tables as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,7 +186,9 @@ def bt_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bt_bootstrap_csi(spark: SparkSession, d: str) -> DataFrame:
-    return verification.bootstrap_csi(verification.blocks(src.forecasts(spark, d)))
+    """200 resamples; bt_bootstrap draws as many as the application, with a reference variant."""
+    found = scores.bootstrap(verification.blocks(src.forecasts(spark, d)), ["A", "N", "R"], "A", 200)
+    return found.select("variant", "low", "high", F.lit(200).alias("n"))
 
 
 @query(f"""{_L}, w AS (SELECT k, x, y FROM l WHERE dbz >= 20), s AS (SELECT k, x + i AS x, y + j AS y, count(*) AS n FROM w, range(-1, 2) AS a(i), range(-1, 2) AS b(j) GROUP BY ALL),
@@ -293,9 +295,8 @@ def bt_frames_in_range(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT (SELECT count(*) FROM events) AS frames, (SELECT count(*) FROM customer) AS regions")
 def src_counts(spark: SparkSession, d: str) -> DataFrame:
-    src.table(spark, d, "events").createOrReplaceTempView("_frames")
-    src.table(spark, d, "customer").createOrReplaceTempView("_regions")
-    return spark.sql("SELECT (SELECT count(*) FROM _frames) AS frames, (SELECT count(*) FROM _regions) AS regions")
+    both = {"frames": src.table(spark, d, "events"), "regions": src.table(spark, d, "customer")}
+    return spark.sql("SELECT (SELECT count(*) FROM {frames}) AS frames, (SELECT count(*) FROM {regions}) AS regions", **both)
 
 
 @query("SELECT event_id, floor(epoch(ts))::BIGINT AS t FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
