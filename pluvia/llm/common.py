@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,20 +32,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/pluvia"
 
 
+#: Lets Spark delete the shuffle files of a write as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost
     executor costs a re-read, and ids given to its rows stay the same.
 
-    The shuffle files of what led to it are released afterwards.
+    The shuffle files of what led to it are deleted with it, not when the driver happens to
+    collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", compression).parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    out = spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
