@@ -65,7 +65,7 @@ class FileTokenizer:
     #: Words encoded as one text.
     RUN = 200
 
-    def __init__(self, path: str, bound: int = 300_000):
+    def __init__(self, path: str, bound: int = 700_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
