@@ -134,6 +134,14 @@ def field_at(v: np.ndarray, size: int, x: np.ndarray, y: np.ndarray) -> np.ndarr
     return (v[y0, x0] * (1 - tx) + v[y0, x1] * tx) * (1 - ty) + (v[y1, x0] * (1 - tx) + v[y1, x1] * tx) * ty
 
 
+def mean_field(fields: list[np.ndarray], sizes: list[int], weights: list[float]) -> np.ndarray:
+    """Weighted mean of fields of different blocks, on the blocks of the first."""
+    h, w = fields[0].shape[:2]
+    y, x = ((a + 0.5) * sizes[0] for a in np.indices((h, w)))
+    total = sum(weights)
+    return sum(field_at(f, s, x, y) * (k / total) for f, s, k in zip(fields, sizes, weights, strict=True))
+
+
 def trend(prev: np.ndarray, cur: np.ndarray, v: np.ndarray, size: int, minutes: float, rain: float) -> np.ndarray:
     """dBZ a minute of each block along the motion, smoothed over the blocks that rain enough."""
     h, w = v.shape[0] * size, v.shape[1] * size

@@ -239,3 +239,31 @@ def rat_request_stats(spark: SparkSession, d: str) -> DataFrame:
 
     e = series.sliding_load(src.event_times(spark, d), ["user_id"], 60).withColumnRenamed("load", "last_minute")
     return series.sliding_load(e, ["user_id"], 3600, F.col("event_id") % 5 + 1).select("event_id", "last_minute", F.col("load").alias("weight"))
+
+
+@query(f"""WITH p AS ({_POINTS}), s AS (SELECT id // 50 AS batch, id, round(lat / 0.25) * 0.25 + 0.0 AS lat, round(lon / 0.25) * 0.25 + 0.0 AS lon FROM p) SELECT batch::BIGINT AS batch, string_agg(printf('%.2f', lat), ',' ORDER BY id) AS latitude, string_agg(printf('%.2f', lon), ',' ORDER BY id) AS longitude, count(*) AS n FROM s GROUP BY batch""")
+def src_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Comma lists of snapped points, fifty a request."""
+    from pluvia.functions import geo
+
+    two = lambda c: F.format_string("%.2f", geo.snap(F.col(c)) + 0.0)
+    s = _points(spark, d).select(F.floor(F.col("id") / 50).alias("batch"), F.struct("id", two("lat").alias("lat"), two("lon").alias("lon")).alias("p"))
+    listed = s.groupBy("batch").agg(F.sort_array(F.collect_list("p")).alias("p"), F.count("*").alias("n"))
+    return listed.select("batch", F.array_join("p.lat", ",").alias("latitude"), F.array_join("p.lon", ",").alias("longitude"), "n")
+
+
+@query("""WITH a AS (SELECT o_custkey % 50 AS point, o_orderkey AS k, floor(epoch(o_orderdate))::BIGINT // 86400 AS day, o_totalprice AS v FROM orders), x AS (SELECT point, day, min(v) AS v FROM a WHERE k % 2 = 0 GROUP BY ALL), y AS (SELECT point, day + 3000 AS day, max(v) AS v FROM a WHERE k % 2 = 1 GROUP BY ALL)
+SELECT point, day * 86400 AS t, v FROM (SELECT * FROM x UNION ALL SELECT * FROM y)""")
+def src_appended_series(spark: SparkSession, d: str) -> DataFrame:
+    """Two stretches of daily series, one behind the other."""
+    day = F.floor(src.epoch(F.col("o_orderdate")) / 86400).cast("long")
+    o = src.table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("point"), F.col("o_orderkey").alias("k"), day.alias("day"), F.col("o_totalprice").alias("v"))
+    x = o.where("k % 2 = 0").groupBy("point", "day").agg(F.min("v").alias("v"))
+    y = o.where("k % 2 = 1").groupBy("point", (F.col("day") + 3000).alias("day")).agg(F.max("v").alias("v"))
+    return archive.union_all([x, y]).select("point", (F.col("day") * 86400).alias("t"), "v")
+
+
+@query("""WITH p AS (SELECT s_suppkey AS region, round(s_acctbal / 130, 4) AS lat FROM supplier) SELECT region, lat, row_number() OVER (ORDER BY region)::INT AS ord FROM p""")
+def src_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Regions in the order in which they were first seen; ids are dense from 0 here, so no window is needed."""
+    return src.table(spark, d, "supplier").select(F.col("s_suppkey").alias("region"), F.round(F.col("s_acctbal") / 130, 4).alias("lat"), (F.col("s_suppkey") + 1).cast("int").alias("ord"))

@@ -114,3 +114,10 @@ def test_averages_and_point_echo():
     g[2, 2] = 50.0
     at = np.array([2.0])
     assert K.point_echo(g, at, at, 1, 40)[0] == 50 and K.point_echo(g, at, at, 1, 0)[0] == -32
+
+
+def test_mean_field_over_different_blocks():
+    a, b = np.full((4, 4, 2), (1.0, 2.0)), np.full((2, 2, 2), (4.0, 8.0))
+    assert np.allclose(K.mean_field([a, b], [8, 16], [2, 1]), (2, 4))
+    ramp = np.stack(np.meshgrid(np.arange(4.0), np.zeros(4)), -1)
+    assert np.allclose(K.mean_field([ramp], [8], [1]), ramp)
