@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.llm import bitplanes, bpe, line_dedup, lm_score, mixing, ngram_join, quality, sharding, sketch, toxicity
+from pluvia.llm import bitplanes, bpe, html_text, importance, line_dedup, lm_score, mixing, ngram_join, quality, sharding, sketch, toxicity, turns
 from pluvia.llm.common import table
 
 #: In a mix no source is repeated more often than this against the least repeated one.
@@ -59,8 +59,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_lines.n").alias("n_lines"), F.col("_lines.kept").alias("n_kept"), F.col("_lines.text").alias("text"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repairs(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_toxicity, op3_lm_score, op4_quality_rules, op5_mixing, op6_token_planes, op7_fingerprints, op8_ngram_join, op9_sharding, op10_line_dedup)
+    f.__name__: f for f in (op1_bpe, op2_toxicity, op3_lm_score, op4_quality_rules, op5_mixing, op6_token_planes, op7_fingerprints, op8_ngram_join, op9_sharding, op10_line_dedup, op11_html_text, op12_importance, op13_turn_repair)
 }
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
@@ -137,4 +149,82 @@ c AS (SELECT doc_id AS root, doc_id AS node FROM documents UNION SELECT c.root,
 m AS (SELECT node, min(root) AS component_id FROM c GROUP BY node)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM documents AS d LEFT JOIN n ON d.doc_id = n.doc_id JOIN m ON d.doc_id = m.node"""
 
-ORACLES: dict[str, str] = {"op4_quality_rules": _quality_sql(), "op5_mixing": _mixing_sql(), "op8_ngram_join": _JOIN_SQL}
+#: The table of the CRC-32 polynomial, and the checksum of a list of bytes by it.
+_CRC_TABLE = "SELECT list(v ORDER BY i) AS crc_table FROM (SELECT i, list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS v FROM range(256) AS r(i))"
+
+
+def _crc(text: str) -> str:
+    raw = f"hex(encode({text}))"
+    octets = f"list_transform(range(0, length({raw}) // 2), lambda i: ('0x' || substr({raw}, 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, crc_table[xor(c & 255, b) + 1])), 4294967295::BIGINT)"
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _importance_sql() -> str:
+    b, word = importance.BUCKETS, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"""
+WITH crc AS ({_CRC_TABLE}),
+w AS (SELECT row_number() OVER () AS k, 0 AS side, doc_id, regexp_extract_all({_LOWER}, '{word}') AS words FROM documents
+  UNION ALL SELECT 0, 1, NULL, regexp_extract_all({_LOWER}, '{word}') FROM benchmark),
+f AS (SELECT k, side, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature FROM w),
+n AS (SELECT k, side, feature, count(*) AS n FROM f GROUP BY ALL),
+d AS (SELECT feature, ({_crc("feature")} % {b})::INT AS bucket FROM (SELECT DISTINCT feature FROM n), crc),
+c AS (SELECT k, side, bucket, sum(n) AS n FROM n JOIN d USING (feature) GROUP BY ALL),
+t AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0)::DOUBLE AS t FROM c GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM t) + {b}) / ((s + 1) * ((SELECT sum(t) FROM t) + {b})))) AS gain FROM t),
+v AS (SELECT k, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n)) AS weight FROM c JOIN g USING (bucket) WHERE side = 0 GROUP BY k),
+r AS (SELECT w.k, doc_id, len(words)::BIGINT AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  ('0x' || substr(sha256('{importance.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM w LEFT JOIN v ON w.k = v.k WHERE side = 0),
+x AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT)::BIGINT AS score FROM r),
+y AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, k) AS place, count(*) OVER () AS n FROM x WHERE n_words >= {importance.MIN_WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * {importance.PERCENT} // 100 THEN place END AS rank, n_words FROM x LEFT JOIN y ON x.k = y.k"""
+
+
+def _turns_sql() -> str:
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    best = lambda *options: f"least({', '.join(options)})"
+    after = lambda q, cost, letter: f"{{'c': {q}.c + {cost}, 'a': '{letter}' || {q}.a}}"
+    never = "{'c': 1000000000::BIGINT, 'a': '~'}"
+    # What is left to pay from each state: e before all, s after the system row, u and a after those.
+    moved = {"e": [("s", "s"), ("u", "u")], "s": [("u", "u")], "u": [("a", "a")], "a": [("u", "u")]}
+
+    def state(q: str) -> str:
+        options = [after(q, 3, "D")]
+        for role, to in moved[q]:
+            options.append(f"CASE WHEN fault NOT IN (1, 2) AND initial = '{role}' THEN {after(to, '(fault = 3)::INT', 'K')} ELSE {never} END")
+            if role != "s":
+                options.append(f"CASE WHEN fault NOT IN (1, 2) THEN {after(to, '2 + (fault = 3)::INT', 'R')} ELSE {never} END")
+        return best(*options)
+
+    stepped = ", ".join(f"{state(q)} AS {q}" for q in moved)
+    closed = lambda given: f"SELECT conv, j, {best('e', after('u', 2, 'I'))} AS e, {best('s', after('u', 2, 'I'))} AS s, u, a FROM (SELECT conv, j, e, s, {best('u', after('a', 2, 'I'))} AS u, {best('a', after('u', 2, 'I'))} AS a FROM ({given}))"
+    zero = "{'c': 0::BIGINT, 'a': ''}"
+    ending = closed(f"SELECT conv, 0 AS j, {zero} AS e, {never} AS s, {never} AS u, {zero} AS a FROM heads")
+    going = closed(f"SELECT p.conv, r.j, {stepped} FROM p JOIN r ON r.conv = p.conv AND r.j = p.j + 1")
+    return f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+heads AS (SELECT row_number() OVER () AS conv, conv_id FROM (SELECT DISTINCT conv_id FROM conversations)),
+d AS (SELECT conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("coalesce(c.conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind
+  FROM conversations AS c JOIN heads AS h ON c.conv_id IS NOT DISTINCT FROM h.conv_id, crc),
+o AS (SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE kind <> 0),
+b AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST, copy) AS again,
+  right(rtrim(text, {space}), 1) AS ending FROM o),
+r AS MATERIALIZED (SELECT conv, turn, role, text, i, count(*) OVER (PARTITION BY conv) + 1 - i AS j, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) AS before,
+  CASE WHEN ending = '' THEN 1 WHEN again > 1 THEN 2 WHEN ending NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM b),
+p AS ({ending} UNION ALL {going}),
+s AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+  count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv),
+a AS (SELECT conv, arg_max(e.c, j) AS cost, arg_max(e.a, j) AS audit FROM p GROUP BY conv),
+l AS (SELECT conv, audit, k, substr(audit, k, 1) AS letter, count(*) FILTER (WHERE letter <> 'I') OVER w AS i, count(*) FILTER (WHERE letter <> 'D') OVER w AS place,
+  count(*) FILTER (WHERE letter <> 'D') OVER (PARTITION BY conv) AS size FROM (SELECT conv, audit, unnest(range(1, length(audit) + 1)) AS k FROM a) WINDOW w AS (PARTITION BY conv ORDER BY k)),
+t AS (SELECT l.conv, string_agg(CASE WHEN letter = 'K' THEN role ELSE CASE WHEN (place - size) % 2 = 0 THEN 'assistant' ELSE 'user' END END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS whole
+  FROM l LEFT JOIN r ON r.conv = l.conv AND r.i = l.i WHERE letter <> 'D' GROUP BY l.conv)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  cost, audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM heads AS h JOIN a ON a.conv = h.conv LEFT JOIN s ON s.conv = h.conv LEFT JOIN t ON t.conv = h.conv"""
+
+
+ORACLES: dict[str, str] = {"op4_quality_rules": _quality_sql(), "op5_mixing": _mixing_sql(), "op8_ngram_join": _JOIN_SQL, "op12_importance": _importance_sql(), "op13_turn_repair": _turns_sql()}
