@@ -57,19 +57,26 @@ def match_blocks(prev: np.ndarray, cur: np.ndarray, size: int = 32, search: int
 
     All blocks are matched at once, one shift after another; equal peaks go to the shorter shift.
     """
-    n = size * size
-    t, p = blocks(signal(cur), size), signal(prev)
+    n, span = size * size, range(-search, search + 1)
+    t = blocks(signal(cur), size)
     rainy = (blocks(cur, size) >= rain).sum(2) >= MIN_FRAC * n
     t_sum, t_spread = t.sum(2), n * (t * t).sum(2) - t.sum(2) ** 2
-    span = range(-search, search + 1)
-    corr = np.full((2 * search + 1, 2 * search + 1, *rainy.shape), -np.inf)
+    (bh, bw), p = rainy.shape, np.pad(signal(prev), search)
+    # Window sums for every shift are four reads of an integral image each; only products are summed anew.
+    sums = [np.pad(a.cumsum(0).cumsum(1), ((1, 0), (1, 0))) for a in (p, p * p)]
+    square = t.reshape(bh, bw, size, size)
+    rows, columns = p.strides
+    corr = np.full((2 * search + 1, 2 * search + 1, bh, bw), -np.inf)
     for j in span:
         for i in span:
-            w = blocks(shifted(p, -i, -j), size)
-            w_sum = w.sum(2)
-            w_spread = n * (w * w).sum(2) - w_sum**2
+            y, x = search - j, search - i
+            w_sum, w_squares = (_corners(a, y, x, size, bh, bw) for a in sums)
+            w_spread = n * w_squares - w_sum**2
             ok = (w_spread > 1e-9 * n * n) & (t_spread > 0)
-            top = n * (t * w).sum(2) - t_sum * w_sum
+            if not ok.any():
+                continue
+            w = np.lib.stride_tricks.as_strided(p[y:, x:], (bh, bw, size, size), (rows * size, columns * size, rows, columns), writeable=False)
+            top = n * np.einsum("abyx,abyx->ab", square, w) - t_sum * w_sum
             corr[j + search, i + search][ok] = top[ok] / np.sqrt(t_spread[ok] * w_spread[ok])
     order = sorted(((i * i + j * j, j, i) for j in span for i in span))
     flat = np.stack([corr[j + search, i + search] for _, j, i in order])
@@ -86,6 +93,12 @@ def match_blocks(prev: np.ndarray, cur: np.ndarray, size: int = 32, search: int
     return np.where(valid[..., None], out, 0.0), valid
 
 
+def _corners(a: np.ndarray, y: int, x: int, size: int, bh: int, bw: int) -> np.ndarray:
+    """Sums over adjoining squares from (y, x) on, by an integral image."""
+    c = a[y : y + bh * size + 1 : size, x : x + bw * size + 1 : size]
+    return c[1:, 1:] - c[:-1, 1:] - c[1:, :-1] + c[:-1, :-1]
+
+
 def subpixel(left: np.ndarray, centre: np.ndarray, right: np.ndarray) -> np.ndarray:
     with np.errstate(invalid="ignore", divide="ignore"):
         d = left - 2 * centre + right
@@ -288,19 +301,20 @@ def rain_share(g: np.ndarray, x: np.ndarray, y: np.ndarray, r: int, threshold: f
     return (np.where(reads >= 10, np.minimum(reads + delta, CEILING), reads) >= threshold).mean(0)
 
 
-def trajectories(g: np.ndarray, v: np.ndarray, size: int, x: np.ndarray, y: np.ndarray, horizon: int, rates: np.ndarray | None = None, r: int = 1, strong: float = 40.0, threshold: float = 20.0, tau: float = 20.0) -> tuple[np.ndarray, np.ndarray]:
-    """(dBZ, rain probability) of each point and minute: the echo upstream, followed back by one-minute
+def trajectories(g: np.ndarray, v: np.ndarray, size: int, x: np.ndarray, y: np.ndarray, horizon: int, rates: np.ndarray | None = None, r: int = 1, strong: float = 40.0, threshold: float = 20.0, tau: float = 20.0, minutes: tuple[int, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(dBZ, rain probability) of each point and minute (of those given, or all): the echo upstream, followed back by one-minute
     steps whose velocity is that at their middle, with a trend that wears off after tau minutes."""
     px, py = x.astype(float), y.astype(float)
     dbz, share = [], []
     for m in range(horizon + 1):
-        echo = point_echo(g, px, py, r, strong)
-        delta = np.zeros(len(px))
-        if rates is not None and m > 0:
-            delta = np.where(echo >= 10, field_at(rates, size, px, py) * tau * (1 - np.exp(-m / tau)), 0.0)
-            echo = np.where(echo >= 10, np.minimum(echo + delta, CEILING), echo)
-        dbz.append(echo)
-        share.append(rain_share(g, px, py, 2 + 8 * m // 60, threshold, delta))
+        if minutes is None or m in minutes:
+            echo = point_echo(g, px, py, r, strong)
+            delta = np.zeros(len(px))
+            if rates is not None and m > 0:
+                delta = np.where(echo >= 10, field_at(rates, size, px, py) * tau * (1 - np.exp(-m / tau)), 0.0)
+                echo = np.where(echo >= 10, np.minimum(echo + delta, CEILING), echo)
+            dbz.append(echo)
+            share.append(rain_share(g, px, py, 2 + 8 * m // 60, threshold, delta))
         half = field_at(v, size, px, py) / 2
         step = field_at(v, size, px - half[:, 0], py - half[:, 1])
         px, py = px - step[:, 0], py - step[:, 1]

@@ -91,3 +91,32 @@ CASE v.variant WHEN 'HS' THEN floor(l_quantity) / 50 WHEN 'LK' THEN abs(round(l_
 FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, min(l_extendedprice) AS l_extendedprice, min(l_discount) AS l_discount, min(l_tax) AS l_tax FROM lineitem GROUP BY ALL), (VALUES ('HS'), ('LK'), ('TREC')) AS v(variant)"""
 GRID_SQL = f"""SELECT p.k, p.x, p.y, coalesce(a.dbz, -32) AS fc, coalesce(b.dbz, -32) AS obs FROM (SELECT k, x::INT AS x, y::INT AS y FROM (SELECT DISTINCT k FROM ({LATTICE_SQL})), range(12) AS i(x), range((SELECT max(user_id // 12) + 1 FROM events)) AS j(y)) AS p
 JOIN (SELECT DISTINCT k - 1 AS k FROM ({LATTICE_SQL})) AS n ON n.k = p.k LEFT JOIN ({LATTICE_SQL}) AS a ON a.k = p.k AND a.x = p.x AND a.y = p.y LEFT JOIN ({LATTICE_SQL}) AS b ON b.k = p.k + 1 AND b.x = p.x AND b.y = p.y"""
+
+
+#: Side of a scene's lattice in pixels; users of a region.
+SCENE, CROWD = 24, 64
+
+
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(region, t, x, y, dbz): frames of 10 minutes (six hours of events each) of a region for every 64 users. Each event
+    is a square of nine pixels that moves one pixel a frame eastwards, four frames long, and weakens."""
+    e = event_times(spark, sf_dir)
+    at = (F.col("user_id") * 131 + F.col("event_id")) % (SCENE * SCENE)
+    born = e.select(
+        F.floor(F.col("user_id") / CROWD).cast("int").alias("region"),
+        F.floor(F.col("t") / 21600).cast("long").alias("k"),
+        (at % SCENE).cast("int").alias("cx"),
+        F.floor(at / SCENE).cast("int").alias("cy"),
+        F.floor(F.col("value") / 2).alias("v"),
+        F.explode(F.sequence(F.lit(0), F.lit(3))).alias("age"),
+    )
+    spot = born.select("*", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("i")).select("*", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("j"))
+    placed = spot.select(
+        "region", ((F.col("k") + F.col("age")) * 600).alias("t"), (F.col("cx") + F.col("age") + F.col("i")).alias("x"), (F.col("cy") + F.col("j")).alias("y"), F.least(F.lit(65.0), F.col("v") - 2 * F.col("age")).cast("double").alias("dbz")
+    )
+    inside = placed.where(F.col("x").between(0, SCENE - 1) & F.col("y").between(0, SCENE - 1))
+    return inside.groupBy("region", "t", "x", "y").agg(F.max("dbz").alias("dbz"))
+
+
+SCENES_SQL = f"""SELECT region, t, x, y, max(dbz) AS dbz FROM (SELECT (user_id // {CROWD})::INT AS region, (floor(epoch(ts))::BIGINT // 21600 + age) * 600 AS t, ((user_id * 131 + event_id) % {SCENE * SCENE} % {SCENE} + age + i)::INT AS x,
+((user_id * 131 + event_id) % {SCENE * SCENE} // {SCENE} + j)::INT AS y, least(65, floor(value / 2) - 2 * age)::DOUBLE AS dbz FROM events, range(4) AS a(age), range(-1, 2) AS b(i), range(-1, 2) AS c(j)) WHERE x BETWEEN 0 AND {SCENE - 1} AND y BETWEEN 0 AND {SCENE - 1} GROUP BY ALL"""
