@@ -38,7 +38,7 @@ def query_value(url: Column, key: str) -> Column:
     return F.try_url_decode(F.nullif(F.regexp_extract(url, rf"[?&]{key}=([^&#]*)", 1), F.lit("")))
 
 
-#: Keys of a map URL's query that may hold coordinates, in this order.
+#: Fixed values, in the order in which they are asked: keys of a map URL's query that may hold coordinates.
 PLACE_KEYS = ("q", "query", "ll", "center", "destination", "daddr")
 _PIN = rf"!3d{_NUMBER}!4d{_NUMBER}"
 _VIEW = rf"@{_NUMBER},{_NUMBER}"

@@ -144,19 +144,30 @@ def eligible(candidates: DataFrame, held: DataFrame, rejected: DataFrame, now: i
     return candidates.join(near, ["x", "y"], "left_anti").join(recent, ["x", "y"], "left_anti")
 
 
+#: Centres whose 3x3 mosaics share a tile with one centre's, itself included.
+OVERLAPPED = 25
+
+
 def filled_regions(candidates: DataFrame, held: DataFrame, places: int) -> list[tuple[int, int]]:
     """Centres taken greedily, best score first: at most a third of the places for each climate in
-    the first pass, any in the second, none overlapping. candidates are a ranked, bounded list (the
-    scouts' best cells), as each choice depends on those before it."""
-    ranked = candidates.orderBy(F.desc("score"), "x", "y").limit(10_000).collect()
-    taken = [(r["x"], r["y"]) for r in held.collect()]
-    climates = {c: 0 for c in {r["climate"] for r in ranked}}
+    the first pass, any in the second, none overlapping.
+
+    At most `places` are taken, each of which rules out OVERLAPPED centres, so whatever is taken before, the best
+    free candidate of a climate is among its first OVERLAPPED * places + 1: no more of each go to the
+    driver, and none that could be taken stays behind. Candidates of equal centre count once.
+    """
+    near = held.select("x", "y", F.explode(square(-2, 2)).alias("o")).select((F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y")).distinct()
+    one = candidates.groupBy("x", "y", "climate").agg(F.max("score").alias("score")).join(near, ["x", "y"], "left_anti")
+    best = W.partitionBy("climate").orderBy(F.desc("score"), "x", "y")
+    few = one.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= OVERLAPPED * places + 1)
+    ranked = sorted(few.collect(), key=lambda r: (-r["score"], r["x"], r["y"]))
+    free_places = places - held.select("x", "y").distinct().count()
+    climates = {r["climate"]: 0 for r in ranked}
     out: list[tuple[int, int]] = []
     for quota in (-(-places // 3), places):
         for r in ranked:
-            free = all(max(abs(r["x"] - x), abs(r["y"] - y)) >= 3 for x, y in taken)
-            if free and len(taken) < places and climates[r["climate"]] < quota:
-                taken.append((r["x"], r["y"]))
+            free = all(max(abs(r["x"] - x), abs(r["y"] - y)) >= 3 for x, y in out)
+            if free and len(out) < free_places and climates[r["climate"]] < quota:
                 out.append((r["x"], r["y"]))
                 climates[r["climate"]] += 1
     return out

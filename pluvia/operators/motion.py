@@ -95,18 +95,20 @@ def weighted(fields: DataFrame, pairs_: int) -> DataFrame:
     return met.select("k", "bx", "by", F.coalesce("dx", F.lit(0.0)).alias("dx"), F.coalesce("dy", F.lit(0.0)).alias("dy"), F.col("dx").isNotNull().alias("valid"))
 
 
-def forecast(paired: DataFrame, points: list[tuple[int, int]], horizon: int, method: str = "TREC", size: int = 32, search: int = 16, minutes: float = 10.0, trend: bool = True) -> DataFrame:
-    """(k, x, y, minute, dbz, prob) of the points of every frame that has one before it."""
+def forecast(paired: DataFrame, points: list[tuple[int, int]] | None, horizon: int, method: str = "TREC", size: int = 32, search: int = 16, minutes: float = 10.0, trend: bool = True, at: tuple[int, ...] | None = None) -> DataFrame:
+    """(k, x, y, minute, dbz, prob) of the points (None: all pixels) of every frame that has one before it, at the minutes
+    given or at all."""
     by = measured(method, size, search, minutes)
-    xs, ys = (np.array(a, float) for a in zip(*points, strict=True))
 
     def kernel(k: int, prev: np.ndarray, cur: np.ndarray) -> pd.DataFrame:
         v, valid = by(prev, cur)
         v = kernels.finish(v, valid)
         rates = kernels.trend(prev, cur, v, size, minutes, 15.0) if trend else None
-        dbz, prob = kernels.trajectories(cur, v, size, xs, ys, horizon, rates)
-        at, minute = np.indices(dbz.shape)
-        return pd.DataFrame({"k": k, "x": xs[at.ravel()].astype(int), "y": ys[at.ravel()].astype(int), "minute": minute.ravel(), "dbz": dbz.ravel(), "prob": prob.ravel()})
+        ys, xs = (a.ravel().astype(float) for a in np.indices(cur.shape)) if points is None else np.array(points, float).T[::-1]
+        dbz, prob = kernels.trajectories(cur, v, size, xs, ys, horizon, rates, minutes=at)
+        which, minute = np.indices(dbz.shape)
+        minute = minute if at is None else np.array(at)[minute]
+        return pd.DataFrame({"k": k, "x": xs[which.ravel()].astype(int), "y": ys[which.ravel()].astype(int), "minute": minute.ravel(), "dbz": dbz.ravel(), "prob": prob.ravel()})
 
     return per_pair(paired, kernel, "k long, x int, y int, minute int, dbz double, prob double")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,12 +18,14 @@ def history_chain(frames: DataFrame, keys: list[str], pairs: int, max_gap: int)
 
 
 def eligible_issues(frames: DataFrame, keys: list[str], pairs: int, leads: list[int], step: int = 600) -> DataFrame:
-    """Issues with every history step and every lead: a needed-offsets division, as one
-    window count over the range each side."""
-    back = W.partitionBy(*keys).orderBy("t").rangeBetween(-pairs * step, 0)
-    ahead = W.partitionBy(*keys).orderBy("t").rangeBetween(step, max(leads) * 60)
-    counted = frames.withColumn("_b", F.count("*").over(back)).withColumn("_a", F.count("*").over(ahead))
-    return counted.where((F.col("_b") == pairs + 1) & (F.col("_a") == max(leads) * 60 // step)).select(*keys, "t")
+    """Issues with a frame at every history step and at every lead, whatever lies between them: each needed offset
+    is a window of its own over one exchange and sort. Frames of one time are one."""
+    offsets = sorted({-step * k for k in range(1, pairs + 1)} | {60 * m for m in leads})
+    order = W.partitionBy(*keys).orderBy("t")
+    there = [(F.count("*").over(order.rangeBetween(o, o)) > 0).alias(f"_at{i}") for i, o in enumerate(offsets)]
+    found = frames.select(*keys, "t").withColumn("_again", F.lag("t").over(order) == F.col("t")).select(*keys, "t", "_again", *there)
+    needed = [F.col(f"_at{i}") for i in range(len(offsets))]
+    return found.where(~F.coalesce("_again", F.lit(False)) & reduce(Column.__and__, needed, F.lit(True))).select(*keys, "t")
 
 
 def publish_lag(seen: DataFrame, keep: int = 6) -> DataFrame:

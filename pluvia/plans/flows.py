@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pluvia.operators import scores
 from pluvia.plans.nowcasts import _drained, _events_stream, _scratch
-from pluvia.plans.registry import query
+from pluvia.plans.registry import ORACLES, QUERIES, query
 from pluvia.plans.scores import _HMF, _M
 from pluvia.sources import driver_tables as src
 from pluvia.sources import sinks
@@ -33,6 +33,9 @@ def stm_hourly_load(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "source", "n", F.round("weight", 4).alias("weight"))
 
 
+QUERIES["stm_windowed_load"], ORACLES["stm_windowed_load"] = stm_hourly_load, ORACLES["stm_hourly_load"]  # the same by its older name
+
+
 @query(f"""{_M}, b AS (SELECT region, t // 21600 AS block, variant, {_HMF} FROM m GROUP BY ALL), c AS (SELECT max(t) // 2 AS cut FROM m) SELECT * EXCLUDE (cut) FROM b, c WHERE block * 21600 + 21600 >= cut""")
 def snk_saved_state(spark: SparkSession, d: str) -> DataFrame:
     """Accumulators saved in two runs, the second replacing the blocks that both have, read back

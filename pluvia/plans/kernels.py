@@ -81,7 +81,8 @@ def flo_lucas_kanade(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def now_forecast(spark: SparkSession, d: str) -> DataFrame:
-    return motion.forecast(_pairs(spark, d), [(x, y) for x in range(1, 12, 4) for y in range(1, 12, 4)], 60, size=SIZE, search=SEARCH)
+    """Every place of the lattice, now and at six leads."""
+    return motion.forecast(_pairs(spark, d), None, 60, size=SIZE, search=SEARCH, at=(0, 10, 20, 30, 40, 50, 60))
 
 
 @query()

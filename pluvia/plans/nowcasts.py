@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pluvia.functions import text
 from pluvia.operators import cells, nowcast, verification
 from pluvia.plans.registry import _F, _FR, _L, _RATE, query
+from pluvia.session import shared_dir
 from pluvia.sources import driver_tables as src
 from pluvia.streaming import collector
 
@@ -124,10 +125,7 @@ def cli_recent_places(spark: SparkSession, d: str) -> DataFrame:
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder in the shared one."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pluvia-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
@@ -147,9 +145,3 @@ def stm_rain_state(spark: SparkSession, d: str) -> DataFrame:
     """The frames as the stateful collector passes them on (its own columns are tested apart)."""
     e = _events_stream(spark, d).select((F.col("user_id") % 12).cast("int").alias("region"), src.epoch(F.col("ts")).alias("t"), (F.col("value") > 100).alias("rainy"))
     return _drained(spark, collector.rain_state(e)).groupBy("region", "t").agg(F.max("rainy").alias("rainy"))
-
-
-@query()
-def stm_windowed_load(spark: SparkSession, d: str) -> DataFrame:
-    e = _events_stream(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("source"), F.col("value").alias("weight"))
-    return collector.latest_rows(collector.windowed_load(e), ["start", "source"], _scratch(spark))

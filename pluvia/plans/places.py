@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pluvia.functions import geo, text
 from pluvia.functions.radar import rain_rate
 from pluvia.operators import places
-from pluvia.plans.registry import _POINTS, _RATE, _points, query
+from pluvia.plans.registry import ORACLES, _POINTS, _RATE, _points, query
 from pluvia.sources import driver_tables as src
 
 _X = "floor((lon + 180) / 360 * 128)::INT"
@@ -66,6 +66,9 @@ def geo_fold_all(spark: SparkSession, d: str) -> DataFrame:
     return _points(spark, d).select("id", geo.fold(F.col("lat"), F.col("lon")).alias("fold"))
 
 
+ORACLES["geo_fold"] = ORACLES["geo_fold_all"]  # the same by its older name
+
+
 _URLS = """SELECT c_custkey AS id, CASE c_custkey % 6
 WHEN 0 THEN 'https://maps.example/maps/place/Ha+Noi+' || c_custkey || '/@' || (c_custkey % 80) || '.5,' || (c_custkey % 170) || ',15z'
 WHEN 1 THEN 'https://maps.example/?q=' || (c_custkey % 80) || '.25%2C' || (c_custkey % 170) || '.75'
@@ -97,7 +100,7 @@ def txt_map_urls(spark: SparkSession, d: str) -> DataFrame:
     return _urls(spark, d).select("id", at["lat"].alias("lat"), at["lon"].alias("lon"), text.place_name(F.col("u")).alias("name"), text.input_kind(F.col("u")).alias("kind"))
 
 
-_NAMED = "SELECT o_custkey % 40 AS answer, o_orderkey AS ord, CASE o_orderkey % 3 WHEN 0 THEN 'Pho Hue' WHEN 1 THEN 'pho  hue' ELSE o_orderpriority END AS name, 21 + (o_orderkey % 7) / 1000 AS lat, 105.8 + (o_orderkey % 5) / 1000 AS lon FROM orders WHERE o_orderstatus = 'F'"
+_NAMED = "SELECT o_custkey AS answer, o_orderkey AS ord, CASE o_orderkey % 3 WHEN 0 THEN 'Pho Hue' WHEN 1 THEN 'pho  hue' ELSE o_orderpriority END AS name, 21 + (o_orderkey % 7) / 1000 AS lat, 105.8 + (o_orderkey % 5) / 1000 AS lon FROM orders"
 
 
 @query(f"""WITH RECURSIVE p AS (SELECT *, lower(regexp_replace(name, '\\s+', '', 'g')) AS key FROM ({_NAMED})), n AS (SELECT *, row_number() OVER (PARTITION BY answer, key ORDER BY ord) AS i FROM p),
@@ -106,8 +109,8 @@ f AS (SELECT answer, key, 1 AS i, [{{'ord': ord, 'lat': lat, 'lon': lon}}] AS ke
 FROM f JOIN n ON n.answer = f.answer AND n.key = f.key AND n.i = f.i + 1), l AS (SELECT answer, key, arg_max(kept, i) AS kept FROM f GROUP BY ALL), k AS (SELECT answer, unnest(kept).ord AS ord FROM l)
 SELECT k.answer, k.ord, p.name FROM k JOIN p ON p.answer = k.answer AND p.ord = k.ord""")
 def txt_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    o, k = src.table(spark, d, "orders").where("o_orderstatus = 'F'"), F.col("o_orderkey")
-    named = o.select((F.col("o_custkey") % 40).alias("answer"), k.alias("ord"), F.when(k % 3 == 0, "Pho Hue").when(k % 3 == 1, "pho  hue").otherwise(F.col("o_orderpriority")).alias("name"), (F.lit(21) + (k % 7) / 1000).alias("lat"), (F.lit(105.8) + (k % 5) / 1000).alias("lon"))
+    o, k = src.table(spark, d, "orders"), F.col("o_orderkey")
+    named = o.select(F.col("o_custkey").alias("answer"), k.alias("ord"), F.when(k % 3 == 0, "Pho Hue").when(k % 3 == 1, "pho  hue").otherwise(F.col("o_orderpriority")).alias("name"), (F.lit(21) + (k % 7) / 1000).alias("lat"), (F.lit(105.8) + (k % 5) / 1000).alias("lon"))
     return places.without_near_duplicates(named, ["answer"]).select("answer", "ord", "name")
 
 

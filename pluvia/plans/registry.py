@@ -220,15 +220,8 @@ def inv_eligible_issues(spark: SparkSession, d: str) -> DataFrame:
 _EV = "WITH e AS (SELECT event_id, user_id, event_type, value, floor(epoch(ts))::BIGINT AS t FROM events)"
 
 
-@query(f"{_EV} SELECT event_type AS source, t // 600 * 600 AS t, t AS seen, min(t - t // 600 * 600) OVER (PARTITION BY event_type ORDER BY t // 600 * 600, t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS lag FROM e WHERE event_id % 2 = 0")
-def pip_publish_lag(spark: SparkSession, d: str) -> DataFrame:
-    e = src.event_times(spark, d).where("event_id % 2 = 0")
-    return series.publish_lag(e.select(F.col("event_type").alias("source"), (F.floor(F.col("t") / 600) * 600).cast("long").alias("t"), F.col("t").alias("seen")))
-
-
 @query(f"{_EV} SELECT event_type AS source, t // 600 * 600 AS t, t AS seen, min(t - t // 600 * 600) OVER (PARTITION BY event_type ORDER BY t // 600 * 600, t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS lag FROM e")
 def pip_publish_lag_all(spark: SparkSession, d: str) -> DataFrame:
-    """Of all events; pip_publish_lag and its SQL take every second one."""
     e = src.event_times(spark, d)
     return series.publish_lag(e.select(F.col("event_type").alias("source"), (F.floor(F.col("t") / 600) * 600).cast("long").alias("t"), F.col("t").alias("seen")))
 
@@ -264,16 +257,9 @@ def snk_region_upsert(spark: SparkSession, d: str) -> DataFrame:
     return series.latest_upsert(e, ["user_id"])
 
 
-@query("SELECT user_id % 50 AS k, min(event_id) AS id FROM events WHERE event_id % 3 = 0 GROUP BY 1 UNION ALL SELECT k, min(id) FROM (SELECT user_id % 70 AS k, event_id AS id FROM events WHERE event_id % 3 = 1) WHERE k NOT IN (SELECT user_id % 50 FROM events WHERE event_id % 3 = 0) GROUP BY k")
-def snk_insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
-    e = src.table(spark, d, "events")
-    part = lambda m, r: e.where(F.col("event_id") % 3 == r).groupBy((F.col("user_id") % m).alias("k")).agg(F.min("event_id").alias("id"))
-    return series.insert_if_absent(part(50, 0), part(70, 1), ["k"])
-
-
 @query("SELECT user_id % 50 AS k, min(event_id) AS id FROM events WHERE event_id % 3 = 0 GROUP BY 1 UNION ALL SELECT k, min(id) FROM (SELECT user_id % 70 AS k, event_id AS id FROM events WHERE event_id % 3 <> 0) WHERE k NOT IN (SELECT user_id % 50 FROM events WHERE event_id % 3 = 0) GROUP BY k")
 def snk_insert_if_absent_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every event is there before or new; snk_insert_if_absent and its SQL leave a third of them out."""
+    """Every event is there before or new."""
     e = src.table(spark, d, "events")
     part = lambda m, rows: rows.groupBy((F.col("user_id") % m).alias("k")).agg(F.min("event_id").alias("id"))
     return series.insert_if_absent(part(50, e.where("event_id % 3 = 0")), part(70, e.where("event_id % 3 <> 0")), ["k"])

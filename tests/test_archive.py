@@ -130,3 +130,34 @@ def test_places_edges(spark):
     assert sorted(r["ord"] for r in kept.collect()) == [1, 3, 4]
     ip = spark.createDataFrame([("10.0.0.1", "1.1.1.1, 2.2.2.2"), ("8.8.8.8", "1.1.1.1"), ("bad", None), ("10.0.0.1", "junk")], "p string, x string")
     assert [r[0] for r in ip.select(places.client_address(F.col("p"), F.col("x"))).collect()] == ["2.2.2.2", "8.8.8.8", "bad", "10.0.0.1"]
+
+
+def test_eligible_issues_ask_for_each_lead(spark):
+    from pluvia.operators import series
+
+    f = spark.createDataFrame([("a", t) for t in (0, 600, 1200, 1800, 4800)] + [("a", 1200), ("b", 1200)], "region string, t long")
+    assert [tuple(r) for r in series.eligible_issues(f, ["region"], 2, [10, 60]).collect()] == [("a", 1200)]
+    assert series.eligible_issues(f.limit(0), ["region"], 2, [10, 60]).count() == 0
+    times = [600 * i for i in range(40) if i % 7]
+    g = spark.createDataFrame([(i % 2, t) for i in range(2) for t in times], "region int, t long")
+    for pairs, leads in ((1, [10]), (3, [10, 20]), (2, [30, 50])):
+        want = {(r, t) for r in (0, 1) for t in times if all(t + o in times for o in [-600 * k for k in range(1, pairs + 1)] + [60 * m for m in leads])}
+        assert {tuple(r) for r in series.eligible_issues(g, ["region"], pairs, leads).collect()} == want
+
+
+def test_filled_regions_equal_a_greedy_scan(spark):
+    import random
+
+    for seed in range(4):
+        rng = random.Random(seed)
+        spots = [(x, y) for x in range(30) for y in range(30)]
+        rows = [(x, y, float(rng.randrange(6)), rng.choice("abc" if seed else "a")) for x, y in rng.sample(spots, 500)]
+        held = rng.sample(spots, 3)
+        taken, climates = list(held), {}
+        for quota in (2, 8):
+            for x, y, _, c in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+                if len(taken) < 8 and climates.get(c, 0) < (3 if quota == 2 else 8) and all(max(abs(x - a), abs(y - b)) >= 3 for a, b in taken):
+                    taken.append((x, y))
+                    climates[c] = climates.get(c, 0) + 1
+        c = spark.createDataFrame(rows, "x int, y int, score double, climate string")
+        assert archive.filled_regions(c, spark.createDataFrame(held, "x int, y int"), 8) == taken[3:]
