@@ -9,7 +9,8 @@ For training, documents follow one another in a stream that is cut into lanes of
 the state is carried from window to window of a lane and reset where a document starts, and
 gradients stop at a window's start (truncated backpropagation). For scoring, each document stays
 whole in one lane, so its state is carried through all of it; lanes are read from one flat array,
-so a very long document costs its own length only.
+so a very long document costs its own length only. States and weights are rounded for that, so that
+sums of their products are exact: a document's score does not depend on what it is batched with.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ SIDE = 64
 WINDOW = 32
 #: Lanes of training, at most, and of scoring.
 LANES, SCORE_LANES = 256, 512
+#: In scoring, states and weights are multiples of 1 / GRID and weights at most LIMIT: a sum of HIDDEN products then is a
+#: multiple of GRID**-2 below 2**24 of these, which 32-bit floats hold exactly, in whatever order it is summed.
+GRID, LIMIT = 256, 8
 _NAMES = ("inputs", "u", "c", "cb", "d", "db")
 
 Params = dict[str, np.ndarray]
@@ -75,12 +79,22 @@ def unflatten(flat: np.ndarray) -> Params:
     return out
 
 
+def _gridded(x: np.ndarray) -> np.ndarray:
+    return np.rint(x * np.float32(GRID)) * np.float32(1 / GRID)
+
+
+def _exact(p: Params) -> Params:
+    """Parameters whose products with states are summed exactly."""
+    return p | {k: _gridded(np.clip(p[k], -LIMIT, LIMIT)).astype(np.float32) for k in ("u", "c", "d")}
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
 def _states(p: Params, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool):
-    """States of a window (rows, lanes, hidden), and what the gradients need."""
+    """States of a window (rows, lanes, hidden), and what the gradients need (keep: training); in scoring
+    the matrix sees them rounded."""
     n, k = HIDDEN, len(ids)
     a = p["inputs"][ids]
     out = np.empty((k, ids.shape[1], n), np.float32)
@@ -89,7 +103,7 @@ def _states(p: Params, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep:
     for t in range(k):
         if starts[t]:
             h = np.where(fresh[t][:, None], np.float32(0), h)
-        g = h @ p["u"]
+        g = (h if keep else _gridded(h)) @ p["u"]
         rz = _sigmoid(a[t, :, : 2 * n] + g[:, : 2 * n])
         r, z = rz[:, :n], rz[:, n:]
         new = np.tanh(a[t, :, 2 * n :] + r * g[:, 2 * n :])
@@ -145,6 +159,7 @@ def log_probabilities(p: Params, docs: list[np.ndarray], end: int) -> np.ndarray
     """Natural log-likelihood of each document (arrays of ids, none empty)."""
     if not docs:
         return np.empty(0)
+    p = _exact(p)
     sizes = np.array([len(d) for d in docs], np.int64)
     heap = [(0, k) for k in range(min(SCORE_LANES, len(docs)))]
     held: list[list[int]] = [[] for _ in heap]
@@ -169,7 +184,7 @@ def log_probabilities(p: Params, docs: list[np.ndarray], end: int) -> np.ndarray
         # A lane that ends in the window reads on into the next, and that is thrown away.
         at = np.minimum(base[:n] + t + np.arange(WINDOW)[:, None], len(target) - 1)
         states, h, _ = _states(p, given[at], fresh[at], h[:n], False)
-        got, _, _ = _output(p, states.reshape(-1, HIDDEN), target[at].reshape(-1), None)
+        got, _, _ = _output(p, _gridded(states.reshape(-1, HIDDEN)), target[at].reshape(-1), None)
         own = t + np.arange(WINDOW)[:, None] < lengths[:n]
         logp[at[own]] = got.reshape(at.shape)[own]
     out = np.zeros(len(docs))

@@ -1,7 +1,7 @@
 """Language-model scores of whole documents: a smoothed unigram base and a recurrent model.
 
 Counts cover every training document. The recurrent model (gru.py) is trained on every window
-of every training document: documents are dealt over shards by their id, about SHARD_TOKENS
+of every training document: documents are dealt over shards by id and text, about SHARD_TOKENS
 tokens each, so more text means more shards and not larger ones; each shard trains a copy from
 the same start, in the order of the ids, and the copies are averaged by tokens in a tree. So the
 score depends on the documents, not on how many tasks read them.
@@ -170,8 +170,9 @@ def train(docs: DataFrame, codes: Codes, start: np.ndarray, tokens: int) -> np.n
             yield pd.DataFrame({"n": [n], "p": [(total / n).astype(np.float32).tobytes()]})
 
     schema = "n long, p binary"
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), "text", "doc_id", F.xxhash64("text").alias("th"))
+    # By id and text, so that rows without an id, or of one id, are not one shard.
+    key, th = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text")
+    rows = docs.select(F.pmod(F.xxhash64(key, th), F.lit(shards)).cast("int").alias("shard"), "text", "doc_id", th.alias("th"))
     dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "th").select("shard", "text")
     copies = materialise(dealt.mapInArrow(run, schema), "lm-copies")
     while (many := copies.count()) > FAN_IN:

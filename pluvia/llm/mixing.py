@@ -111,7 +111,9 @@ def mixed(docs: DataFrame, target: Target, budget: float | None = None, seed: in
     """
     rows, sources = plan(docs, target, budget, seed)
     keyed = rows.join(F.broadcast(sources) if sources.count() <= 10_000 else sources, "source")
-    keyed = keyed.withColumn("block", F.pmod(stable_long("source", "doc_id", seed=f"block{seed}"), F.col("blocks").cast("long")).cast("int"))
+    # Rows without an id are dealt by their key, so that they are not one block.
+    dealt = F.coalesce(F.col("doc_id").cast("string"), F.col("row_key").cast("string"))
+    keyed = keyed.withColumn("block", F.pmod(stable_long("source", dealt, seed=f"block{seed}"), F.col("blocks").cast("long")).cast("int"))
     block_tokens = keyed.groupBy("source", "block").agg(F.sum("n_tokens").alias("b"), F.first("tokens").alias("tokens"), F.first("epochs").alias("epochs"))
     epoch = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("epochs").cast("int") - 1, F.lit(0)))).alias("epoch")
     spread = block_tokens.select("source", "block", "b", "tokens", "epochs", epoch)
@@ -128,8 +130,11 @@ def mixed(docs: DataFrame, target: Target, budget: float | None = None, seed: in
 
 def mix_documents(docs: DataFrame, target: Target, budget: float | None = None, seed: int = 0) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with all their columns."""
-    kept = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-docs")
-    narrow = kept.select(F.col("__row").alias("row_key"), "doc_id", "source", "text")
-    taken = mixed(narrow, target, budget, seed).groupBy("row_key").agg(F.count("*").cast("int").alias("__times"))
-    repeated = kept.join(taken, kept["__row"] == taken["row_key"])
-    return repeated.select(*[kept[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).select(*docs.columns)
+    # Under names of our own, so that none of the caller's clashes.
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    kept = materialise(docs.toDF(*own).withColumn("row", F.monotonically_increasing_id()), "mix-docs")
+    named = dict(zip([c.lower() for c in docs.columns], own, strict=True))
+    narrow = kept.select(F.col("row").alias("row_key"), *[F.col(named[c]).alias(c) for c in ("doc_id", "source", "text")])
+    taken = mixed(narrow, target, budget, seed).groupBy("row_key").agg(F.count("*").cast("int").alias("times"))
+    repeated = kept.join(taken, kept["row"] == taken["row_key"])
+    return repeated.select(*own, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(*own).toDF(*docs.columns)

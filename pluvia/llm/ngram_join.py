@@ -45,8 +45,6 @@ MIDDLE = 16
 NO_ID = -(1 << 63)
 #: Numbers of rows (8 bytes each) that are sent to every task at most; more are met in a shuffle.
 MOST_SENT = 500_000
-#: Shared tiles that are sent, at most.
-MOST_TILES = 2_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -262,9 +260,8 @@ def class_components(rows: DataFrame, n: int, percent: int) -> DataFrame:
     # copies, which have the same hi, do not make a tile shared.
     placed = rows.where("_set.n > 0").select(F.col("_row").alias("uid"), "_set.hi", F.size("_set.tiles").alias("in_all"), F.explode("_set.tiles").alias("tile"))
     shared = materialise(placed.groupBy("tile").agg(F.min("hi").alias("x"), F.max("hi").alias("y")).where("x < y").select("tile"), "shared-tiles")
-    side = F.broadcast(shared) if shared.count() <= MOST_TILES else shared
     # Written before copies are left out: else Spark would do that first, and shuffle all tiles.
-    met = materialise(placed.select("uid", "tile", "in_all").join(side, "tile"), "tiles-met")
+    met = materialise(placed.select("uid", "tile", "in_all").join(shared.hint("merge"), "tile"), "tiles-met")
     found = met.join(classes.select("uid"), "uid", "left_semi")
     # A window holds the tiles of one class.
     found = materialise(found.withColumn("share", F.count("*").over(W.partitionBy("uid")) / F.col("in_all")).drop("in_all"), "tile-rows")

@@ -10,6 +10,7 @@ from math import comb, log10
 import numpy as np
 import public_tokenizers
 import regex
+from pyspark.sql import functions as F
 
 from pluvia.llm import bitplanes, bpe, gru, line_dedup, lm_score, mixing, ngram_join, quality, sharding, sketch, toxicity
 from pluvia.llm.common import shared_dir
@@ -115,11 +116,32 @@ def test_lm_score_is_the_same_however_it_is_read(docs, monkeypatch):
     assert scored[0] == scored[1]
 
 
+def test_gru_scores_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(4)
+    p = gru.initial(rng.integers(1, 1000, 64 * 64 + gru.REST).astype(float))
+    for k in ("u", "c", "d"):
+        p[k] = rng.normal(0, 1.5, p[k].shape).astype(np.float32)
+    docs_ = [rng.integers(0, 4095, rng.integers(1, 300)).astype(np.int16) for _ in range(300)]
+    whole = gru.log_probabilities(p, docs_, 4095)
+    for size in (1, 7, 100):
+        assert (np.concatenate([gru.log_probabilities(p, docs_[i : i + size], 4095) for i in range(0, 300, size)]) == whole).all()
+
+
 def test_lm_beats_the_base_on_held_out_documents(spark):
     got = lm_score.scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").toPandas()
     assert len(got) > 50 and got["score"].sum() > 0.97 * got["base_score"].sum()
 
 
+def test_lm_deals_rows_of_one_id_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 500)
+    rows = [(None if i % 2 else 3, f"w{i % 50} w{i % 7} word number {i}") for i in range(600)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = docs_.select(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text")), F.lit(6)).alias("s"), "doc_id").groupBy("doc_id", "s").count().collect()
+    assert len(dealt) == 12 and max(r["count"] for r in dealt) < 100
+    got = [sorted((r["doc_id"] or -1, r["n_tokens"], round(r["score"], 6)) for r in lm_score.scores(docs_.repartition(k)).collect()) for k in (1, 3)]
+    assert got[0] == got[1] and len(got[0]) == 600
+
+
 def test_gru_is_a_distribution_and_its_gradients_are_right():
     rng = np.random.default_rng(0)
     side = 6
@@ -561,3 +583,18 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
             for r in got:
                 ids = enc.encode_ordinary(kept[r["doc_id"]])
                 assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(kept[r["doc_id"]].encode()).hexdigest())
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = [(i % 5 if i % 3 else None, f"w{i} x y", "a" if i % 4 else "b", i, i + 1, i + 2, i + 3) for i in range(900)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, source string, __row long, row long, times long, `a.b` long")
+    got = mixing.mix_documents(docs_, mixing.Target(repeats=2.0))
+    assert got.columns == docs_.columns and {tuple(r) for r in got.collect()} == set(rows)
+    plan, _ = mixing.plan(docs_.select(F.col("row").alias("row_key"), "doc_id", "source", "text"), mixing.Target(repeats=2.0))
+    assert plan.count() == 900
+
+
+def test_mix_spreads_rows_without_an_id(spark):
+    docs_ = spark.range(3000).selectExpr("id AS row_key", "CAST(NULL AS LONG) AS doc_id", "'a' AS source", "'x y' AS text")
+    sizes = [r["count"] for r in mixing.mixed(docs_, mixing.Target(repeats=2.0)).groupBy("block").count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 400
