@@ -92,8 +92,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _states(p: Params, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool):
-    """States of a window (rows, lanes, hidden), and what the gradients need (keep: training); in scoring
+def _states(p: Params, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool, gridded: bool = False):
+    """States of a window (rows, lanes, hidden), and what the gradients need (keep: training); gridded:
     the matrix sees them rounded."""
     n, k = HIDDEN, len(ids)
     a = p["inputs"][ids]
@@ -103,7 +103,7 @@ def _states(p: Params, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep:
     for t in range(k):
         if starts[t]:
             h = np.where(fresh[t][:, None], np.float32(0), h)
-        g = (h if keep else _gridded(h)) @ p["u"]
+        g = (_gridded(h) if gridded else h) @ p["u"]
         rz = _sigmoid(a[t, :, : 2 * n] + g[:, : 2 * n])
         r, z = rz[:, :n], rz[:, n:]
         new = np.tanh(a[t, :, 2 * n :] + r * g[:, 2 * n :])
@@ -115,11 +115,12 @@ def _states(p: Params, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep:
 
 
 def _choice(x: np.ndarray, rows: np.ndarray, chosen: np.ndarray, slope: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """(log-probability of each row's choice, its slope by x) under a softmax of x's rows. States are
-    within -1 and 1 and gradients clipped, so exp can't overflow."""
-    e = np.exp(x)
+    """(log-probability of each row's choice, its slope by x) under a softmax of x's rows, which are used up.
+    States are within -1 and 1 and gradients clipped, so exp can't overflow."""
+    logp = x[rows, chosen]
+    e = np.exp(x, out=x)
     z = np.einsum("ij->i", e)
-    logp = x[rows, chosen] - np.log(z)
+    logp -= np.log(z)
     if not slope:
         return logp, None
     e /= z[:, None]
@@ -134,7 +135,9 @@ def _output(p: Params, h: np.ndarray, target: np.ndarray, weight: np.ndarray | N
     cls = np.where(inner, target // side, target - side * side + side)
     order = np.argsort(cls.astype(np.int16), kind="stable")
     cut = np.searchsorted(cls[order], np.arange(side + 1))
-    logp, dc = _choice(h @ p["c"] + p["cb"], np.arange(len(h)), cls, weight is not None)
+    x = h @ p["c"]
+    x += p["cb"]
+    logp, dc = _choice(x, np.arange(len(h)), cls, weight is not None)
     grads, dh = None, None
     if weight is not None:
         dc *= weight[:, None]
@@ -146,7 +149,9 @@ def _output(p: Params, h: np.ndarray, target: np.ndarray, weight: np.ndarray | N
         if not len(at):
             continue
         hc = h[at]
-        got, dw = _choice(hc @ p["d"][c] + p["db"][c], np.arange(len(at)), word[at], weight is not None)
+        x = hc @ p["d"][c]
+        x += p["db"][c]
+        got, dw = _choice(x, np.arange(len(at)), word[at], weight is not None)
         logp[at] += got
         if weight is not None:
             dw *= weight[at][:, None]
@@ -183,7 +188,7 @@ def log_probabilities(p: Params, docs: list[np.ndarray], end: int) -> np.ndarray
         n = int((lengths > t).sum())
         # A lane that ends in the window reads on into the next, and that is thrown away.
         at = np.minimum(base[:n] + t + np.arange(WINDOW)[:, None], len(target) - 1)
-        states, h, _ = _states(p, given[at], fresh[at], h[:n], False)
+        states, h, _ = _states(p, given[at], fresh[at], h[:n], False, gridded=True)
         got, _, _ = _output(p, _gridded(states.reshape(-1, HIDDEN)), target[at].reshape(-1), None)
         own = t + np.arange(WINDOW)[:, None] < lengths[:n]
         logp[at[own]] = got.reshape(at.shape)[own]
