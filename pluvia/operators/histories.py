@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from pluvia.operators import kernels
 
+RADAR = "radar"
 #: Seconds of a span, which is also a block of the bootstrap.
 SPAN = 21_600
 
@@ -65,6 +66,10 @@ class Frames:
         self.motion = motion
         self.grids: dict[int, np.ndarray] = {}
         self.covers: dict[int, np.ndarray] = {}
+        #: Latitude and longitude of the region, by frame, where they are given.
+        self.places: dict[int, tuple[float, float]] = {}
+        #: What else is known of the region: kind -> time -> its row.
+        self.side: dict[str, dict[int, object]] = {}
         self._pairs: dict[tuple[str, int], tuple[np.ndarray, np.ndarray] | None] = {}
         self._fields: dict[tuple[str, int, int], tuple[np.ndarray, np.ndarray] | None] = {}
 
@@ -75,7 +80,7 @@ class Frames:
             self.covers[t] = cover
 
     def evict(self, before: int) -> None:
-        for held in (self.grids, self.covers, self._pairs, self._fields):
+        for held in (self.grids, self.covers, self.places, self._pairs, self._fields, *self.side.values()):
             for key in [k for k in held if (k if isinstance(k, int) else k[1]) < before]:
                 del held[key]
 
@@ -154,7 +159,8 @@ def walked(frames: DataFrame, motion: Motion, visit: Visit, schema: str, columns
     """The rows that visit(held, region, t, span) gives for every frame, visited in order of time when all frames up
     to t + ahead have come, with those from t - back on held. close() gives rows at the end of a span.
 
-    frames: region, t, w, h, at, dbz and maybe cover. One shuffle by region and span; of each, frames back + ahead around one.
+    frames: region, t, w, h, at, dbz and maybe cover. Rows of another `kind` (a column that is optional) are not visited
+    but held in `side` as long as frames are, so sources that differ meet in the same shuffle. One shuffle by region and span; of each, frames back + ahead around one.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,7 +184,12 @@ def walked(frames: DataFrame, motion: Motion, visit: Visit, schema: str, columns
                     ended()
                     key, held, waiting = (r.region, r.span), Frames(motion), []
                 visited(r.t - 1)
+                if getattr(r, "kind", RADAR) != RADAR:
+                    held.side.setdefault(r.kind, {})[r.t] = r
+                    continue
                 held.put(r.t, grid(r.w, r.h, np.asarray(r.at, int), np.asarray(r.dbz, float)), seen(r))
+                if hasattr(r, "lat"):
+                    held.places[r.t] = (r.lat, r.lon)
                 if r.t // span == r.span:
                     waiting.append(r.t)
             if rows:
