@@ -267,3 +267,19 @@ def error_correlation(tallied: DataFrame, names: list[str]) -> DataFrame:
     met = p.join(one, "a").join(other, "b").crossJoin(F.broadcast(n))  # a row a pair of variants, and one count
     c = (F.col("p") / F.col("n") - F.col("sa") / F.col("n") * F.col("sb") / F.col("n")) / F.sqrt((F.col("qa") / F.col("n") - (F.col("sa") / F.col("n")) ** 2) * (F.col("qb") / F.col("n") - (F.col("sb") / F.col("n")) ** 2))
     return met.select("a", "b", F.col("n").cast("long").alias("n"), F.round(c, 9).alias("correlation"))
+
+
+def _by_measure(tallied: DataFrame, keys: list[str], measures: dict[str, str]) -> DataFrame:
+    """Sums of measures as whole-number columns."""
+    one = lambda m: F.coalesce(F.sum(F.when(F.col("measure") == m, F.col("value"))), F.lit(0.0)).cast("long")
+    return tallied.where(F.col("measure").isin(list(measures))).groupBy(*keys).agg(*[one(m).alias(name) for m, name in measures.items()])
+
+
+def class_scores(tallied: DataFrame) -> DataFrame:
+    """(variant, lead, lo, hits, misses, false_alarms) of strength classes, lo being a class's lower end."""
+    return _by_measure(tallied.withColumnRenamed("at", "lo"), ["variant", "lead", "lo"], {"class_hits": "hits", "class_misses": "misses", "class_false_alarms": "false_alarms"})
+
+
+def block_counts(tallied: DataFrame) -> DataFrame:
+    """(region, block, variant, hits, misses, false_alarms), as the bootstrap takes them."""
+    return _by_measure(tallied, ["region", "block", "variant"], {c: c for c in ("hits", "misses", "false_alarms")})
