@@ -43,3 +43,10 @@ def test_entry_and_registration(spark):
 def test_bootstrap_interval_is_ordered(spark):
     for r in registry.QUERIES["bt_bootstrap_csi"](spark, DIR).collect():
         assert r["low"] <= r["high"] and r["n"] == 200
+
+
+def test_leafwise_boosting_beats_the_base_rate_of_every_lead(spark):
+    rows = registry.QUERIES["trn_leafwise"](spark, DIR).collect()
+    assert {(r["fold"], r["lead"]) for r in rows} == {(f, m) for f in (0, 1) for m in (10, 20)}
+    for r in rows:
+        assert 0 < r["events"] < r["n"] and r["brier"] < r["base"]
