@@ -185,6 +185,6 @@ def lives(cells: DataFrame) -> DataFrame:
         line = met.select("region", "t", "cell", *[(F.col(k) + more[k]).alias(k) for k in sums], F.col("on_t").alias("next_t"), F.col("on_cell").alias("next_cell"))
     spread = F.col("n") * F.col("xx") - F.col("x") * F.col("x")
     rate = lambda y: F.when(spread != 0, (F.col("n") * F.col(f"x{y}") - F.col("x") * F.col(y)) / spread).otherwise(0.0)
-    rates = line.select("region", "t", "cell", F.col("n").cast("int").alias("age"), F.round(rate("z"), 6).alias("rate_dbz"), F.round(rate("a"), 6).alias("rate_area"))
+    rates = line.select("region", "t", "cell", F.col("n").cast("int").alias("age"), F.round(rate("z"), 9).alias("rate_dbz"), F.round(rate("a"), 9).alias("rate_area"))
     own = base.select("region", "t", "cell", (F.col("parents") == 0).alias("is_new"), (F.col("parents") >= 2).alias("merged"), "split")
     return rates.join(own, ["region", "t", "cell"]).withColumn("decaying", (F.col("rate_dbz") < 0) & (F.col("rate_area") < 0))

@@ -10,7 +10,7 @@ from pluvia.plans.nowcasts import _drained, _events_stream, _scratch
 from pluvia.plans.registry import ORACLES, QUERIES, query
 from pluvia.plans.scores import _HMF, _M
 from pluvia.sources import driver_tables as src
-from pluvia.sources import sinks
+from pluvia.sources import matrix, sinks
 from pluvia.streaming import collector
 
 _T = "floor(epoch(ts))::BIGINT * 100000 + event_id % 100000"
@@ -67,3 +67,18 @@ def trn_gbt(spark: SparkSession, d: str) -> DataFrame:
         s = held.groupBy("lead").agg(F.count("*").alias("n"), F.sum("label").alias("events"), F.avg(F.pow(F.col("p") - F.col("label"), 2)).alias("brier"), (F.avg("label") * (1 - F.avg("label"))).alias("base")).select(F.lit(fold).alias("fold"), "*")
         out = s if out is None else out.unionByName(s)
     return out
+
+
+@query("""WITH r AS (SELECT (least(l_linenumber, 6) * 10)::FLOAT AS lead, l_quantity::FLOAT AS m_lk, round(l_discount * 100)::FLOAT AS near, round(l_tax * 100)::FLOAT AS obs FROM lineitem)
+SELECT lead::DOUBLE AS lead, count(*) AS n, count(*) FILTER (WHERE near IS NULL OR near = 0) AS missing, sum(m_lk::DOUBLE) AS m_lk, sum(obs::DOUBLE) AS obs FROM r GROUP BY lead""")
+def snk_training_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Training rows written as raw matrices and read back by column."""
+    matrix.register(spark)
+    li = src.table(spark, d, "lineitem")
+    near = F.nullif(F.round(F.col("l_discount") * 100), F.lit(0.0))
+    rows = li.select((F.least(F.col("l_linenumber"), F.lit(6)) * 10).cast("float").alias("lead"), F.col("l_quantity").cast("float").alias("m_lk"), near.cast("float").alias("near"), F.lit(0.0).cast("float").alias("unread"), F.round(F.col("l_tax") * 100).cast("float").alias("obs"))
+    path = f"{_scratch(spark)}/matrix".removeprefix("file://")
+    rows.write.format("f32matrix").mode("append").save(path)
+    got = spark.read.format("f32matrix").option("columns", "lead,m_lk,near,obs").load(path)
+    total = lambda c: F.sum(F.col(c).cast("double")).alias(c)
+    return got.groupBy(F.col("lead").cast("double").alias("lead")).agg(F.count("*").alias("n"), F.count_if(F.isnan("near")).alias("missing"), total("m_lk"), total("obs"))
