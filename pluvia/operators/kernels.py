@@ -177,11 +177,19 @@ def trend(prev: np.ndarray, cur: np.ndarray, v: np.ndarray, size: int, minutes:
 
 def translation_gain(prev: np.ndarray, cur: np.ndarray, v: np.ndarray, minutes: float, x: float, y: float, r: int) -> float | None:
     """How much better moving the rain explains a disc than leaving it; None with too little rain or change."""
-    rows, columns = np.indices(cur.shape)
+    h, w = cur.shape
     cx, cy = (int(np.copysign(np.floor(abs(a) + 0.5), a)) for a in (x, y))
+    part = tuple(slice(*np.clip((c - r, c + r + 1), 0, n).tolist()) for c, n in ((cy, h), (cx, w)))
+    rows, columns = np.mgrid[part]
     disc = (columns - cx) ** 2 + (rows - cy) ** 2 <= r * r
-    c, p = signal(cur)[disc], signal(prev)[disc]
-    s = sample(signal(prev), columns[disc] - v[0] * minutes, rows[disc] - v[1] * minutes, 0.0)
+    if not disc.any():
+        return None
+    c, p = signal(cur[part])[disc], signal(prev[part])[disc]
+    # Upstream reads, from no more of the frame before than they need.
+    sx, sy = columns[disc] - v[0] * minutes, rows[disc] - v[1] * minutes
+    x0, y0 = (int(np.clip(np.floor(a.min()), 0, n)) for a, n in ((sx, w), (sy, h)))
+    x1, y1 = (int(np.clip(np.floor(a.max()) + 2, 0, n)) for a, n in ((sx, w), (sy, h)))
+    s = sample(signal(prev[y0:y1, x0:x1]), sx - x0, sy - y0, 0.0) if x1 > x0 and y1 > y0 else np.zeros(len(c))
     still = float(((c - p) ** 2).sum())
     if not len(c) or ((c > 0) | (p > 0)).sum() < 0.02 * len(c) or still < len(c):
         return None

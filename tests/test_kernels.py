@@ -121,3 +121,19 @@ def test_mean_field_over_different_blocks():
     assert np.allclose(K.mean_field([a, b], [8, 16], [2, 1]), (2, 4))
     ramp = np.stack(np.meshgrid(np.arange(4.0), np.zeros(4)), -1)
     assert np.allclose(K.mean_field([ramp], [8], [1]), ramp)
+
+
+def test_gain_equals_reads_of_the_whole_frame():
+    rng = np.random.default_rng(5)
+    prev, cur = (np.where(rng.random((40, 50)) < 0.6, rng.integers(5, 60, (40, 50)), -32).astype(float) for _ in range(2))
+    y, x = np.indices(cur.shape)
+    for _ in range(60):
+        v, (px, py), r = rng.normal(0, 1.5, 2), rng.uniform(-6, 55, 2), int(rng.integers(1, 14))
+        disc = (x - round(px)) ** 2 + (y - round(py)) ** 2 <= r * r
+        c, p = K.signal(cur)[disc], K.signal(prev)[disc]
+        s = K.sample(K.signal(prev), x[disc] - v[0] * 10, y[disc] - v[1] * 10, 0.0)
+        got = K.translation_gain(prev, cur, v, 10, px, py, r)
+        if len(c) and ((c - p) ** 2).sum() >= len(c) and ((c > 0) | (p > 0)).sum() >= 0.02 * len(c):
+            assert got == pytest.approx(1 - ((c - s) ** 2).sum() / ((c - p) ** 2).sum())
+        else:
+            assert got is None
