@@ -8,7 +8,7 @@ sums by block of six hours, whatever the number of points; adding the rows of tw
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,6 +66,21 @@ class Rules:
         return max([1, *(v.pairs for v in self.variants if v.method not in ("", "mean"))])
 
 
+#: variant -> (dBZ, rain probability), both points by leads.
+Forecasts = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+@dataclass(frozen=True)
+class After:
+    """Variants made of those before them: their names, what makes them of (frames, t, x, y, forecasts), and the seconds of
+    other sources that this needs before the issue and after its last lead."""
+
+    names: tuple[str, ...]
+    run: Callable[[Frames, int, np.ndarray, np.ndarray, Forecasts], Forecasts]
+    back: int = 0
+    ahead: int = 0
+
+
 def rain_rate(dbz: np.ndarray) -> np.ndarray:
     return np.where(dbz < 15, 0.0, (10 ** (np.minimum(dbz, 55.0) / 10) / 200) ** (1 / 1.6))
 
@@ -83,7 +98,7 @@ def eligible(held: Frames, t: int, rules: Rules) -> bool:
     return all(t + s in held.grids for s in steps)
 
 
-def forecasts(held: Frames, t: int, x: np.ndarray, y: np.ndarray, rules: Rules) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def forecasts(held: Frames, t: int, x: np.ndarray, y: np.ndarray, rules: Rules) -> Forecasts:
     """variant -> (dBZ, rain probability), both points by leads; persistence first."""
     g, out = held.grids[t], {}
     for v in (Variant(PERSISTENCE), *rules.variants):
@@ -152,7 +167,7 @@ class Tally:
                 self.add("fss_num", name, lead, ((f - o) ** 2).sum(), thr + window / 100)
                 self.add("fss_den", name, lead, (f * f + o * o).sum(), thr + window / 100)
 
-    def errors(self, found: dict[str, tuple[np.ndarray, np.ndarray]], obs: np.ndarray, i: int, lead: int, rules: Rules) -> None:
+    def errors(self, found: Forecasts, obs: np.ndarray, i: int, lead: int, rules: Rules) -> None:
         """Sums and products of errors where it rains or any variant says so; at: the number of the other variant."""
         said = np.stack([f[0][:, i] for f in found.values()])
         wet = (obs >= rules.threshold) | (said >= rules.threshold).any(0)
@@ -164,14 +179,14 @@ class Tally:
             for b in range(a, len(found)):
                 self.add("error_product", name, lead, products[a, b], b)
 
-    def issue(self, held: Frames, t: int, cover: np.ndarray | None, rules: Rules) -> None:
+    def issue(self, held: Frames, t: int, cover: np.ndarray | None, rules: Rules, after: After | None = None) -> None:
         g = held.grids[t]
         x, y, mask = lattice(g, rules.every, cover)
         if not len(x):
             return
         self.add("issues", "", 0, 1)
         obs = np.stack([kernels.point_echo(held.grids[t + 60 * m], x, y, rules.radius, rules.strong) for m in rules.leads], 1)
-        names = [PERSISTENCE, *(v.name for v in rules.variants)]
+        names = [PERSISTENCE, *(v.name for v in rules.variants), *(after.names if after else ())]
         if (obs < rules.threshold).all() and g.max() < 10:
             # No echo to move or grow: every variant is dry, certain and right.
             for name in names:
@@ -182,6 +197,8 @@ class Tally:
             self.add("dry_issues", "", 0, 1)
             return
         found = forecasts(held, t, x, y, rules)
+        if after:
+            found |= after.run(held, t, x, y, found)
         for name, (dbz, prob) in found.items():
             self.accumulated(name, dbz, obs, rules.leads)
             for i, lead in enumerate(rules.leads):
@@ -192,11 +209,12 @@ class Tally:
             self.errors(found, obs[:, i], i, rules.correlation_lead, rules)
 
 
-def scored(frames: DataFrame, rules: Rules = Rules(), motion: Motion = Motion(), since: int | None = None, until: int | None = None) -> DataFrame:
+def scored(frames: DataFrame, rules: Rules = Rules(), motion: Motion = Motion(), since: int | None = None, until: int | None = None, after: After | None = None) -> DataFrame:
     """(region, block, half, measure, variant, lead, at, value) over the issues after `since` and up to `until`.
 
     frames: region, t, w, h, at, dbz and, if some pixels have no cover, cover (array of the positions that do; null:
-    all). The frames of a block and around it are one bounded group, read one after another."""
+    all). The frames of a block and around it are one bounded group, read one after another. Variants that `after` makes
+    come last and are scored alike."""
     kind = frames.schema["region"].dataType.simpleString()
     tally: list[Tally] = []
     columns = ["region", "block", "half", "measure", "variant", "lead", "at", "value"]
@@ -208,7 +226,7 @@ def scored(frames: DataFrame, rules: Rules = Rules(), motion: Motion = Motion(),
         if (since is None or t > since) and (until is None or t <= until) and eligible(held, t, rules):
             if not tally:
                 tally.append(Tally())
-            tally[0].issue(held, t, held.covers.get(t), rules)
+            tally[0].issue(held, t, held.covers.get(t), rules, after)
         return ()
 
     def close() -> Iterable[tuple]:
@@ -217,7 +235,10 @@ def scored(frames: DataFrame, rules: Rules = Rules(), motion: Motion = Motion(),
             for (measure, variant, lead, at), value in tally.pop().sums.items():
                 yield region, block, block % 2, measure, variant, lead, at, value
 
-    return histories.walked(frames, motion, visit, schema, columns, back=(rules.pairs + 1) * rules.step, ahead=60 * rules.leads[-1], span=SPAN, close=close)
+    back, ahead = (rules.pairs + 1) * rules.step, 60 * rules.leads[-1]
+    if after:
+        back, ahead = max(back, after.back), ahead + after.ahead
+    return histories.walked(frames, motion, visit, schema, columns, back=back, ahead=ahead, span=SPAN, close=close)
 
 
 def added(*runs: DataFrame) -> DataFrame:

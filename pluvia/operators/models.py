@@ -80,14 +80,19 @@ def threshold_grid(rows: DataFrame, keys: list[str], points: int = 91) -> DataFr
     return table.select(*keys, "lead", (F.col("p") / 100).alias("p"), *[F.sum(a).over(beside).alias(b) for a, b in (("h", "hits"), ("m", "misses"), ("f", "false_alarms"))])
 
 
-def picked_threshold(grid: DataFrame, keys: list[str], pod: float, far: float, bias: float) -> DataFrame:
+def picked_threshold(grid: DataFrame, keys: list[str], pod: float | Column, far: float | Column, bias: float | Column) -> DataFrame:
     """(keys, lead, p): the threshold of best CSI among those with POD at least and FAR at most the
-    ensemble's (the lower on ties), else the one of nearest frequency bias."""
+    ensemble's (the lower on ties), else the one of nearest frequency bias, else 0.5. The ensemble's scores are fixed or columns
+    of the grid."""
     h, m, f = F.col("hits"), F.col("misses"), F.col("false_alarms")
-    s = grid.select(*keys, "lead", "p", safe(h, h + m + f).alias("csi"), safe(h, h + m).alias("pod"), safe(f, h + f).alias("far"), safe(h + f, h + m).alias("bias"))
-    fits = (F.col("pod") >= pod) & (F.col("far") <= far)
+    s = grid.select(
+        *keys, "lead", "p", safe(h, h + m + f).alias("csi"), safe(h, h + m).alias("pod"), safe(f, h + f).alias("far"), safe(h + f, h + m).alias("bias"),
+        *[F.lit(v).alias(f"least_{n}") for n, v in (("pod", pod), ("far", far), ("bias", bias))],
+    )
+    fits = (F.col("pod") >= F.col("least_pod")) & (F.col("far") <= F.col("least_far"))
     best = F.max(F.when(fits, F.struct("csi", (-F.col("p")).alias("q"))))
-    near = F.min(F.when(F.col("bias").isNotNull(), F.struct(F.abs(F.col("bias") - bias).alias("d"), "p")))
+    off = F.abs(F.col("bias") - F.col("least_bias"))
+    near = F.min(F.when(off.isNotNull(), F.struct(off.alias("d"), "p")))
     return s.groupBy(*keys, "lead").agg(best.alias("a"), near.alias("b")).select(*keys, "lead", F.coalesce(-F.col("a.q"), F.col("b.p"), F.lit(0.5)).alias("p"))
 
 

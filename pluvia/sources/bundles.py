@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from pluvia.functions import trees
 from pluvia.operators.nowcast import capped, on_knots
+from pluvia.sources.matrix import opened
 
 TREE = "struct<feature: array<int>, threshold: array<double>, left: array<int>, right: array<int>, default_left: array<boolean>, missing: array<int>, value: array<double>>"
 SCHEMA = f"`set` string, fold int, features array<string>, classes array<struct<dbz: double, trees: array<{TREE}>, calib_x: array<double>, calib_y: array<double>, pstar: map<string, double>>>, trained string"
@@ -18,6 +21,19 @@ def bundles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).option("multiLine", True).json(path).withColumn("name", name)
 
 
+def save(found: dict[tuple[str, int], str], path: str) -> None:
+    """Bundles' texts by (set, fold) as files of a folder: set_fold0, set_fold1, and the set alone for fold -1. A file is
+    written beside its place and then moved there, so readers see all of it or nothing."""
+    store, root = opened(path)
+    store.create_dir(root, recursive=True)
+    for (set_, fold), text in found.items():
+        name = f"{root}/{set_}.json" if fold < 0 else f"{root}/{set_}_fold{fold}.json"
+        beside = f"{root}/.{set_}-{uuid.uuid4().hex}"
+        with store.open_output_stream(beside) as f:
+            f.write(text.encode())
+        store.move(beside, name)
+
+
 def faults(found: DataFrame, known: list[str]) -> DataFrame:
     """(name, fault) of the bundles that break a rule: unknown features, no classes, arrays of unequal
     length, splits on features that are not there, children that do not come after their parent."""

@@ -24,13 +24,13 @@ from pyspark.sql.types import FloatType, StructField, StructType
 SPLIT, BATCH = 64 << 20, 1 << 16
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
 def _sidecars(path: str) -> list[tuple[str, list[str], int]]:
     """(matrix file, columns, rows) of every part; a file that isn't whole rows, or not as many as told, is an error."""
-    store, root = _opened(path)
+    store, root = opened(path)
     out = []
     for info in sorted(store.get_file_info(fs.FileSelector(root, recursive=False)), key=lambda i: i.path):
         if not info.path.endswith(".json"):
@@ -69,7 +69,7 @@ class MatrixReader(DataSourceReader):
     def read(self, partition: Rows) -> Iterator[pa.RecordBatch]:
         if not partition.rows:
             return
-        store, _ = _opened(self.path)
+        store, _ = opened(self.path)
         at, width = [partition.columns.index(c) for c in self.wanted], len(partition.columns)
         with store.open_input_file(partition.file) as f:
             f.seek(4 * width * partition.first)
@@ -93,7 +93,7 @@ class MatrixWriter(DataSourceArrowWriter):
         self.path, self.columns, self.overwrite, self.run = path, columns, overwrite, uuid.uuid4().hex[:8]
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
-        store, root = _opened(self.path)
+        store, root = opened(self.path)
         store.create_dir(root, recursive=True)
         file, rows = f"{root}/part-{self.run}-{uuid.uuid4().hex}.f32", 0
         with store.open_output_stream(file) as f:
@@ -104,7 +104,7 @@ class MatrixWriter(DataSourceArrowWriter):
         return Part(file, rows)
 
     def commit(self, messages: list[Part | None]) -> None:
-        store, root = _opened(self.path)
+        store, root = opened(self.path)
         store.create_dir(root, recursive=True)
         old = [i.path for i in store.get_file_info(fs.FileSelector(root)) if i.path.endswith(".json")] if self.overwrite else []
         for m in messages:
@@ -117,7 +117,7 @@ class MatrixWriter(DataSourceArrowWriter):
             store.delete_file(path.removesuffix(".json"))
 
     def abort(self, messages: list[Part | None]) -> None:
-        store, _ = _opened(self.path)
+        store, _ = opened(self.path)
         for m in messages:
             if m is not None:
                 store.delete_file(m.file)
