@@ -228,12 +228,18 @@ def scene_of(held: Frames, t: int, lat: float, lon: float, pairs: int, threshold
     )
 
 
-def issue_rows(sources: DataFrame, rules: issues.Rules, motion: Motion = Motion(), margin: int = 0) -> DataFrame:
+def bare(held: Frames, t: int, lat: float, lon: float) -> Scene:
+    """The scene for models that read the members' forecasts alone: the frame and its place."""
+    return Scene(held.grids[t], [], [], [], t, lat, lon)
+
+
+def issue_rows(sources: DataFrame, rules: issues.Rules, motion: Motion = Motion(), margin: int = 0, scenes: bool = True) -> DataFrame:
     """(region, t, x, y, obs, *NAMES) of every covered lattice point and lead of every issue; features are 32-bit floats.
 
     sources: kind (radar, nwp, sat), region, t, lat, lon, w, h, at, dbz. nwp rows hold the seven values of an hour in dbz
     (null: not known), sat rows the grey of a scan. rules.variants are not used: the members are the three
-    methods with their trends.
+    methods with their trends. Without scenes only the lead, the members, the echoes at the place and upwind of no motion, and
+    the sun are told.
     """
     members = issues.Rules(**{**rules.__dict__, "variants": tuple(issues.Variant(m, m, motion.pairs, True) for m in MEMBERS)})
 
@@ -247,7 +253,8 @@ def issue_rows(sources: DataFrame, rules: issues.Rules, motion: Motion = Motion(
         found = issues.forecasts(held, t, x, y, members)
         dbz = np.stack([found[m][0] for m in MEMBERS], 2)
         prob = np.mean([found[m][1] for m in MEMBERS], axis=0)
-        got = rows(scene_of(held, t, *place, motion.pairs, rules.threshold, margin), x, y, rules.leads, dbz, prob)
+        scene = scene_of(held, t, *place, motion.pairs, rules.threshold, margin) if scenes else bare(held, t, *place)
+        got = rows(scene, x, y, rules.leads, dbz, prob)
         for i, lead in enumerate(rules.leads):
             obs = kernels.point_echo(held.grids[t + 60 * lead], x, y, rules.radius, rules.strong)
             for j in range(len(x)):

@@ -199,7 +199,9 @@ def walked(frames: DataFrame, motion: Motion, visit: Visit, schema: str, columns
         if rows:
             yield pd.DataFrame(rows, columns=columns)
 
-    placed = spread(frames, back, ahead, span).repartition("region", "span").sortWithinPartitions("region", "span", "t")
+    # A number of its own keeps the tasks apart: they are few bytes but much work, and would be joined by their bytes.
+    tasks = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = spread(frames, back, ahead, span).repartition(tasks, "region", "span").sortWithinPartitions("region", "span", "t")
     return placed.mapInPandas(run, schema)
 
 

@@ -308,14 +308,16 @@ def scored(sources: DataFrame, rules: issues.Rules, models_: dict[tuple[str, int
             raise ValueError(f"{s} needs a model for either fold")
     sent = sources.sparkSession.sparkContext.broadcast(models_)
     members = member_names(rules, motion.pairs)
+    # Without a model that reads more than the members' forecasts, no scene is worked out.
+    bare = all(set(m.names) <= set(names_of("ens")) for m in models_.values())
 
     def run(held: Frames, t: int, x: np.ndarray, y: np.ndarray, found: issues.Forecasts) -> issues.Forecasts:
         none = np.full((len(x), len(rules.leads)), np.nan)
         dbz = np.stack([found[m][0] if m else none for m in members], 2)
         told = [found[m][1] for m in members if m]
         lat, lon = held.places[t]
-        scene = features.scene_of(held, t, lat, lon, motion.pairs, rules.threshold, margin)
-        row = features.rows(scene, x, y, rules.leads, dbz, np.mean(told, axis=0) if told else np.zeros_like(none))
+        scene = features.bare(held, t, lat, lon) if bare else features.scene_of(held, t, lat, lon, motion.pairs, rules.threshold, margin)
+        row = features.rows(scene, x, y, rules.leads, dbz, np.mean(told, axis=0) if told else np.zeros(none.shape))
         row = row.astype(np.float32).astype(float)  # as trained
         return {variant(s): forecast_row(sent.value[s, fold_at(lat, lon)], row, rules.leads) for s in sets}
 
