@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,6 +49,25 @@ def segments(pixels: DataFrame, threshold: float = 30.0, least: int = 1) -> Data
     return pixels.groupBy("k", "cell").agg(F.count("*").alias("area"), F.max("dbz").alias("peak"), centre("x"), centre("y"), *box).where(F.col("area") >= least)
 
 
+def square(c: Column) -> Column:
+    return c * c
+
+
+def half_up(c: Column, digits: int) -> Column:
+    """A value of 0 or more rounded as a binary number, by its product with a power of ten; round() takes its shortest decimal
+    text, which may stand on the other side of a half."""
+    return F.floor(c * 10.0**digits + 0.5) / 10.0**digits
+
+
+def near(cells: DataFrame, others: DataFrame, gate: float) -> DataFrame:
+    """cells (k, cx, cy) with those of others (k, a_cx, a_cy) whose centres may lie within the gate: an equi-join on frame and
+    squares a little wider than the gate, each with those around it, so a pair meets once and far cells never."""
+    at = lambda c: F.floor(F.col(c) / (gate + 1)).cast("int")
+    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("_o")
+    spread = others.select("*", step).withColumns({"_x": at("a_cx") + F.col("_o.i"), "_y": at("a_cy") + F.col("_o.j")}).drop("_o")
+    return cells.withColumns({"_x": at("cx"), "_y": at("cy")}).join(spread, ["k", "_x", "_y"]).drop("_x", "_y")
+
+
 def overlap_links(pixels: DataFrame, dx: int = 0, dy: int = 0, share: float = 0.3) -> DataFrame:
     """(k, a, b, both): areas a of frame k - 1, moved by (dx, dy), and b of frame k that share at
     least so much of the smaller one. An equi-join on moved pixels, then counts."""

@@ -159,13 +159,13 @@ SELECT k, a, b, round(d / 6 + 0.5 * (1 - i / (u - i)), 6) AS cost FROM m WHERE d
 def cel_costs(spark: SparkSession, d: str) -> DataFrame:
     """Distance against the gate and overlap of boxes, of cells of frames that follow each other."""
     c = cells.segments(cells.labelled(src.lattice(spark, d)), least=1)
-    a = c.select((F.col("k") + 1).alias("k"), *[F.col(x).alias(f"a_{x}") for x in ("cell", "cx", "cy", "min_x", "max_x", "min_y", "max_y")])
+    was = c.select((F.col("k") + 1).alias("k"), *[F.col(x).alias(f"a_{x}") for x in ("cell", "cx", "cy", "min_x", "max_x", "min_y", "max_y")])
     over = lambda v: F.greatest(F.least(f"a_max_{v}", f"max_{v}") + 1 - F.greatest(f"a_min_{v}", f"min_{v}"), F.lit(0))
     box = lambda p: (F.col(f"{p}max_x") - F.col(f"{p}min_x") + 1) * (F.col(f"{p}max_y") - F.col(f"{p}min_y") + 1)
-    gap = F.hypot(F.col("a_cx") - F.col("cx"), F.col("a_cy") - F.col("cy"))
+    gap = F.sqrt(cells.square(F.col("a_cx") - F.col("cx")) + cells.square(F.col("a_cy") - F.col("cy")))  # hypot rounds otherwise
     inter = over("x") * over("y")
-    met = c.join(a, "k").where(gap <= 6)  # both sides are the few cells of one region and frame
-    return met.select("k", F.col("a_cell").alias("a"), F.col("cell").alias("b"), F.round(gap / 6 + 0.5 * (1 - inter / (box("a_") + box("") - inter)), 6).alias("cost"))
+    met = cells.near(c, was, 6).where(gap <= 6)
+    return met.select("k", F.col("a_cell").alias("a"), F.col("cell").alias("b"), cells.half_up(gap / 6 + 0.5 * (1 - inter / (box("a_") + box("") - inter)), 6).alias("cost"))
 
 
 @query(f"""{_CELLS}, li AS (SELECT b.k, a.cell AS a, b.cell AS b, count(*) AS n FROM p AS a JOIN p AS b ON b.k = a.k + 1 AND b.x = a.x AND b.y = a.y GROUP BY ALL), lk AS (SELECT li.* , x.area FROM li JOIN cc AS x ON x.k = li.k - 1 AND x.cell = li.a JOIN cc AS y ON y.k = li.k AND y.cell = li.b WHERE n >= 0.3 * least(x.area, y.area)),
