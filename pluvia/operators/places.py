@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pluvia.functions.geo import haversine_m
+from pluvia.functions.geo import EARTH_M, haversine_m
+from pluvia.session import shared_dir
 
 
 def place_key(name: Column) -> Column:
@@ -29,19 +33,42 @@ def without_near_duplicates(places: DataFrame, keys: list[str], metres: float =
     return listed.select(*keys, F.explode(kept).alias("p")).select(*keys, "p.*")
 
 
-def nearest(points: DataFrame, gazetteer: DataFrame, cell: float = 5.0) -> DataFrame:
+def nearest(points: DataFrame, gazetteer: DataFrame, cell: float = 5.0, finer: tuple[int, ...] = (64, 8, 1)) -> DataFrame:
     """points (id, lat, lon) with the name and distance of the nearest gazetteer row (name, lat, lon)
     in the cells around it; without one, the coordinates stand for a name.
 
-    An equi-join on cells of so many degrees (with their neighbours), not all pairs.
+    Equal places are asked and met once. They meet in squares a part of the cell (finer: powers of two, the last is 1), each
+    with those around it; a place that lies nearer than the rim of these squares can't be beaten, and only points without
+    one go on to wider squares, so dense places meet few others. The result of each round is written to the shared folder.
     """
-    at = lambda c: F.floor(F.col(c) / cell).cast("int")
+    spark = points.sparkSession
+    folder = f"{shared_dir(spark)}/nearest-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    places = written(gazetteer.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy(F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon")).agg(F.min("name").alias("name")), "places")
+    left = points.select("lat", "lon").distinct().where("lat IS NOT NULL AND lon IS NOT NULL")
     step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("o")
-    spread = gazetteer.select(F.col("name"), F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"), at("lat").alias("cy"), at("lon").alias("cx"), step).select("name", "g_lat", "g_lon", (F.col("cy") + F.col("o.i")).alias("cy"), (F.col("cx") + F.col("o.j")).alias("cx"))
-    met = points.withColumns({"cy": at("lat"), "cx": at("lon")}).join(spread, ["cy", "cx"], "left")
-    d = F.when(F.col("g_lat").isNotNull(), F.round(haversine_m(F.col("lat"), F.col("lon"), F.col("g_lat"), F.col("g_lon")), 3))
-    best = met.withColumn("d", d).groupBy("id", "lat", "lon").agg(F.min(F.struct(F.col("d").isNull().alias("none"), "d", "name")).alias("b"))
-    return best.select("id", F.coalesce("b.name", F.format_string("%.5f, %.5f", "lat", "lon")).alias("name"), F.col("b.d").alias("metres"))
+    d = F.round(haversine_m(F.col("lat"), F.col("lon"), F.col("g_lat"), F.col("g_lon")), 3)
+    rounds = []
+    for part in finer:
+        width = cell / part
+        at = lambda c: F.floor(F.col(c) / width).cast("int")  # noqa: B023, E731
+        spread = places.select("name", "g_lat", "g_lon", at("g_lat").alias("y"), at("g_lon").alias("x"), step).select("name", "g_lat", "g_lon", (F.col("y") + F.col("o.i")).alias("cy"), (F.col("x") + F.col("o.j")).alias("cx"))
+        met = left.withColumns({"cy": at("lat"), "cx": at("lon")}).join(spread, ["cy", "cx"])
+        best = met.groupBy("lat", "lon").agg(F.min(F.struct(d.alias("d"), "name")).alias("b"))
+        if part != 1:
+            # Metres to the parallels and meridians a square away, less what rounding can hide.
+            rim = EARTH_M * F.least(F.lit(math.radians(width)), F.asin(F.greatest(F.lit(0.0), F.cos(F.radians("lat"))) * math.sin(math.radians(width))))
+            best = best.where(F.col("b.d") < rim - 0.01)
+        rounds.append(written(best, f"found{part}"))
+        left = left.join(rounds[-1].select("lat", "lon"), ["lat", "lon"], "left_anti")
+    found = rounds[0]
+    for more in rounds[1:]:
+        found = found.unionByName(more)
+    return points.join(found, ["lat", "lon"], "left").select("id", F.coalesce("b.name", F.format_string("%.5f, %.5f", "lat", "lon")).alias("name"), F.col("b.d").alias("metres"))
 
 
 def ip_number(text: Column) -> Column:
