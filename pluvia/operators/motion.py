@@ -131,7 +131,7 @@ def trends(paired: DataFrame, size: int, search: int, minutes: float = 10.0, rai
 
 def tracked(paired: DataFrame, threshold: float, least: int, gate: float) -> DataFrame:
     """(k, a, b, cost): one-to-one matches of the rain cells of a frame before (a) and now (b), each
-    named by its first pixel; cells far from all others stay alone."""
+    named by its first pixel; cells far from all others stay alone. Cells meet only those within the gate."""
     alone = 1.51  # just above any allowed pair
 
     def cells(g: np.ndarray) -> pd.DataFrame:
@@ -149,17 +149,18 @@ def tracked(paired: DataFrame, threshold: float, least: int, gate: float) -> Dat
         if not n or not m:
             return pd.DataFrame({"k": [], "a": [], "b": [], "cost": []})
         far = lambda q: (q[["wx", "wy"]].to_numpy() / q[["w"]].to_numpy())
-        d = np.linalg.norm(far(p)[:, None] - far(c)[None], axis=2)
-        lo = np.maximum(p[["x0", "y0"]].to_numpy()[:, None], c[["x0", "y0"]].to_numpy()[None])
-        hi = np.minimum(p[["x1", "y1"]].to_numpy()[:, None], c[["x1", "y1"]].to_numpy()[None]) + 1
-        inter = np.maximum(hi - lo, 0).prod(2)
+        at, to = far(p), far(c)
+        i, j = kernels.near_pairs(at, to, gate)
+        d = np.linalg.norm(at[i] - to[j], axis=1)
+        inside = d <= gate
+        i, j, d = i[inside], j[inside], d[inside]
+        lo = np.maximum(p[["x0", "y0"]].to_numpy()[i], c[["x0", "y0"]].to_numpy()[j])
+        hi = np.minimum(p[["x1", "y1"]].to_numpy()[i], c[["x1", "y1"]].to_numpy()[j]) + 1
+        inter = np.maximum(hi - lo, 0).prod(1)
         box = lambda q: ((q["x1"] - q["x0"] + 1) * (q["y1"] - q["y0"] + 1)).to_numpy()
-        iou = inter / (box(p)[:, None] + box(c)[None] - inter)
-        cost = np.full((n + m, n + m), alone)
-        cost[n:, m:] = 0.0
-        cost[:n, :m] = np.where(d > gate, 1e6, d / gate + 0.5 * (1 - iou))
-        to = kernels.assignment(cost)[:n]
-        rows = [(k, p["cell"][i], c["cell"][j], cost[i, j]) for i, j in enumerate(to) if j < m and cost[i, j] < 1e6]
+        cost = d / gate + 0.5 * (1 - inter / (box(p)[i] + box(c)[j] - inter))
+        best = kernels.sparse_assignment(n, m, i, j, cost, 2 * alone)
+        rows = [(k, p["cell"][i[e]], c["cell"][j[e]], cost[e]) for e in best if e >= 0]
         return pd.DataFrame(rows, columns=["k", "a", "b", "cost"])
 
     return per_pair(paired, kernel, "k long, a int, b int, cost double")
