@@ -38,14 +38,19 @@ def pairs(stitched: DataFrame) -> DataFrame:
     return stitched.join(stitched.select((F.col("k") + 1).alias("k"), F.col("dbz").alias("was")), "k")
 
 
-def per_pair(paired: DataFrame, kernel: Callable[[int, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """kernel(k, previous, current) of every pair."""
+#: Points whose forecasts leave a task together.
+POINTS = 8192
+
+
+def per_pair(paired: DataFrame, kernel: Callable[[int, np.ndarray, np.ndarray], pd.DataFrame | Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """kernel(k, previous, current) of every pair, whole or in parts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
             for row in f.itertuples(index=False):
                 was = np.frombuffer(row.was, "<f4").reshape(row.h, row.w).astype(np.float64)
-                yield kernel(row.k, was, grid(row))
+                found = kernel(row.k, was, grid(row))
+                yield from [found] if isinstance(found, pd.DataFrame) else found
 
     return paired.mapInPandas(run, schema)
 
@@ -97,18 +102,21 @@ def weighted(fields: DataFrame, pairs_: int) -> DataFrame:
 
 def forecast(paired: DataFrame, points: list[tuple[int, int]] | None, horizon: int, method: str = "TREC", size: int = 32, search: int = 16, minutes: float = 10.0, trend: bool = True, at: tuple[int, ...] | None = None) -> DataFrame:
     """(k, x, y, minute, dbz, prob) of the points (None: all pixels) of every frame that has one before it, at the minutes
-    given or at all."""
+    given or at all. A frame's points are followed and given so many at a time."""
     by = measured(method, size, search, minutes)
 
-    def kernel(k: int, prev: np.ndarray, cur: np.ndarray) -> pd.DataFrame:
+    def kernel(k: int, prev: np.ndarray, cur: np.ndarray) -> Iterator[pd.DataFrame]:
         v, valid = by(prev, cur)
         v = kernels.finish(v, valid)
         rates = kernels.trend(prev, cur, v, size, minutes, 15.0) if trend else None
-        ys, xs = (a.ravel().astype(float) for a in np.indices(cur.shape)) if points is None else np.array(points, float).T[::-1]
-        dbz, prob = kernels.trajectories(cur, v, size, xs, ys, horizon, rates, minutes=at)
-        which, minute = np.indices(dbz.shape)
-        minute = minute if at is None else np.array(at)[minute]
-        return pd.DataFrame({"k": k, "x": xs[which.ravel()].astype(int), "y": ys[which.ravel()].astype(int), "minute": minute.ravel(), "dbz": dbz.ravel(), "prob": prob.ravel()})
+        asked = None if points is None else np.array(points, int).reshape(-1, 2)
+        for start in range(0, cur.size if asked is None else len(asked), POINTS):
+            n = np.arange(start, min(start + POINTS, cur.size))
+            xs, ys = (n % cur.shape[1], n // cur.shape[1]) if asked is None else asked[start : start + POINTS].T
+            dbz, prob = kernels.trajectories(cur, v, size, xs.astype(float), ys.astype(float), horizon, rates, minutes=at)
+            which, minute = np.indices(dbz.shape)
+            minute = minute if at is None else np.array(at)[minute]
+            yield pd.DataFrame({"k": k, "x": xs[which.ravel()], "y": ys[which.ravel()], "minute": minute.ravel(), "dbz": dbz.ravel(), "prob": prob.ravel()})
 
     return per_pair(paired, kernel, "k long, x int, y int, minute int, dbz double, prob double")
 
