@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pluvia.functions.geo import square
+from pluvia.sources.driver_tables import dealt
 
 STEP = 600
 
@@ -107,10 +108,19 @@ def tile_plan(points: DataFrame, frames: DataFrame, history: int) -> DataFrame:
     return placed.select("id", F.row_number().over(W.partitionBy("id").orderBy("t", "y", "x")).alias("ord"), "t", "x", "y")
 
 
-def checked_upload(plan: DataFrame, given: DataFrame, keys: list[str]) -> DataFrame:
-    """(id, missing, strange, state) of uploads against plans, by tile ids: a full outer join."""
-    p, g = plan.select("id", *keys).withColumn("_p", F.lit(True)), given.select("id", *keys).distinct().withColumn("_g", F.lit(True))
-    met = p.join(g, ["id", *keys], "full").groupBy("id").agg(F.count_if(F.col("_g").isNull()).alias("missing"), F.count_if(F.col("_p").isNull()).alias("strange"))
+def checked_upload(plan: DataFrame, given: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
+    """(id, missing, strange, state) of uploads against plans, by tile ids.
+
+    Both lists are dealt by id once and counted there (rows: how many there are, if known, which bounds the tasks). Rows of null ids or keys match nothing.
+    """
+    known = F.lit(True)
+    for c in ("id", *keys):
+        known = known & F.col(c).isNotNull()
+    both = plan.select("id", *keys, F.lit(1).alias("_p"), F.lit(0).alias("_g")).unionByName(given.select("id", *keys, F.lit(0).alias("_p"), F.lit(1).alias("_g")))
+    # What matches nothing is kept apart by the list it came from.
+    side = F.when(~known, F.col("_p"))
+    tiles = (both.repartition("id") if rows is None else dealt(both, "id", rows)).withColumn("_side", side).groupBy("id", *keys, "_side").agg(F.sum("_p").alias("_p"), F.max("_g").alias("_g"))
+    met = tiles.groupBy("id").agg(F.sum(F.when(F.col("_g") == 0, F.col("_p")).otherwise(0)).alias("missing"), F.count_if(F.col("_p") == 0).alias("strange"))
     return met.withColumn("state", F.when(F.col("strange") > 0, "stale").when(F.col("missing") > 0, "incomplete").otherwise("complete"))
 
 

@@ -162,9 +162,11 @@ def _plan(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH p AS (SELECT l_orderkey AS id, l_linenumber AS n, l_partkey AS k FROM lineitem), a AS (SELECT DISTINCT id, n FROM p), g AS (SELECT DISTINCT id, CASE WHEN id % 5 = 0 AND n = 1 THEN 90 ELSE n END AS n FROM p WHERE NOT (id % 3 = 0 AND n = 2)),
 m AS (SELECT coalesce(a.id, g.id) AS id, count(*) FILTER (WHERE g.id IS NULL) AS missing, count(*) FILTER (WHERE a.id IS NULL) AS strange FROM a FULL JOIN g ON a.id = g.id AND a.n = g.n GROUP BY 1) SELECT *, CASE WHEN strange > 0 THEN 'stale' WHEN missing > 0 THEN 'incomplete' ELSE 'complete' END AS state FROM m""")
 def pip_checked_uploads(spark: SparkSession, d: str) -> DataFrame:
-    p = src.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("int").alias("n")).distinct()
+    li = src.table(spark, d, "lineitem")
+    rows = li.count()
+    p = src.dealt(li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("int").alias("n")), "id", rows).distinct()
     given = p.where(~((F.col("id") % 3 == 0) & (F.col("n") == 2))).withColumn("n", F.when((F.col("id") % 5 == 0) & (F.col("n") == 1), 90).otherwise(F.col("n")))
-    return archive.checked_upload(p, given, ["n"])
+    return archive.checked_upload(p, given, ["n"], 2 * rows)
 
 
 @query(f"""{_EV}, s AS (SELECT user_id, event_id, sum(round(value)::BIGINT) OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC)::BIGINT AS used_size FROM e) SELECT * FROM s WHERE used_size <= 3000""")
