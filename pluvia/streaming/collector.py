@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +71,8 @@ def rain_state(frames: DataFrame) -> DataFrame:
     return frames.groupBy("region").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+#: Rows of a region that leave a task together.
+ROWS = 50_000
 #: What region_state keeps and gives.
 REGION_STATE = "newest long, last_rain long, checked long"
 REGION_OUT = "region int, t long, rainy boolean, last_rain long, checked long, given_up boolean"
@@ -90,16 +93,21 @@ def region_state(frames: DataFrame, hold: int = RAIN_MEMORY, keep: str = "24 hou
             state.remove()
             return
         newest, last, checked = state.get if state.exists else (-1, -1, 0)
-        rows, until = [], 0
-        for t, rainy, at in sorted((int(t), bool(r), at.value // 10**6) for b in batches for t, r, at in zip(b["t"], b["rainy"], b["ts"], strict=True)):
-            until = max(until, at)
-            if t <= newest:
-                continue
-            newest, checked = t, checked + 1
-            last = t if rainy else last
-            rows.append((key[0], t, rainy, last, checked, checked >= DRY_CHECKS if last < 0 else t - last > hold))
+        parts = [(b["t"].astype("int64").to_numpy(), b["rainy"].to_numpy(bool), b["ts"].max().value // 10**6) for b in batches]
+        until = max([0, *(p[2] for p in parts)])
+        t, rainy = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        del parts
+        # Of frames of one time the dry one came first and is the one that counts.
+        t, rainy = (a[np.lexsort((rainy, t))] for a in (t, rainy))
+        fresh = t > np.concatenate([[newest], t[:-1]])
+        t, rainy = t[fresh & (t > newest)], rainy[fresh & (t > newest)]
+        for start in range(0, len(t), ROWS):
+            now, wet = t[start : start + ROWS], rainy[start : start + ROWS]
+            rained = np.maximum.accumulate(np.concatenate([[last], np.where(wet, now, -1)]))[1:]
+            seen = checked + 1 + np.arange(len(now))
+            last, checked, newest = int(rained[-1]), int(seen[-1]), int(now[-1])
+            yield pd.DataFrame({"region": key[0], "t": now, "rainy": wet, "last_rain": rained, "checked": seen, "given_up": np.where(rained < 0, seen >= DRY_CHECKS, now - rained > hold)})
         state.update((newest, last, checked))
         state.setTimeoutTimestamp(max(until + keep_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["region", "t", "rainy", "last_rain", "checked", "given_up"])
 
     return frames.withWatermark("ts", late).groupBy("region").applyInPandasWithState(step, REGION_OUT, REGION_STATE, "append", GroupStateTimeout.EventTimeTimeout)
