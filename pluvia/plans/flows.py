@@ -57,9 +57,12 @@ def trn_gbt(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    m = src.members(spark, d).groupBy("region", "point", "lead").pivot("variant", src.VARIANTS).agg(F.max("fc")).na.fill(-32.0)
-    obs = src.members(spark, d).where("variant = 'LK'").select("point", "lead", (F.col("obs") >= 20).cast("double").alias("label"))
-    rows = VectorAssembler(inputCols=[*src.VARIANTS, "lead"], outputCol="features").transform(m.join(obs, ["point", "lead"]))
+    said = [F.max(F.when(F.col("variant") == v, F.col("fc"))).alias(v) for v in src.VARIANTS]
+    label = (F.max(F.when(F.col("variant") == "LK", F.col("obs"))) >= 20).cast("double").alias("label")
+    m = src.members(spark, d).where("point IS NOT NULL AND lead IS NOT NULL").groupBy("region", "point", "lead").agg(*said, label).na.fill(-32.0, src.VARIANTS)
+    path = f"{_scratch(spark)}/rows"  # every step of the training reads them
+    m.write.parquet(path)
+    rows = VectorAssembler(inputCols=[*src.VARIANTS, "lead"], outputCol="features").transform(spark.read.parquet(path))
     out = None
     for fold in (0, 1):
         model = GBTClassifier(maxIter=5, maxDepth=4, seed=1, subsamplingRate=0.7).fit(rows.where(F.col("region") % 2 != fold))
