@@ -131,8 +131,8 @@ def trends(paired: DataFrame, size: int, search: int, minutes: float = 10.0, rai
         v = kernels.finish(v, valid)
         rates = kernels.trend(prev, cur, v, size, minutes, rain)
         j, i = (a.ravel() for a in np.indices(valid.shape))
-        gains = [kernels.translation_gain(prev, cur, v[b, a], minutes, (a + 0.5) * size - 0.5, (b + 0.5) * size - 0.5, r) for a, b in zip(i, j, strict=True)]
-        return pd.DataFrame({"k": k, "bx": i, "by": j, "rate": rates.ravel(), "gain": pd.array(gains, "Float64")})
+        gains = kernels.translation_gains(prev, cur, v.reshape(-1, 2), minutes, (i + 0.5) * size - 0.5, (j + 0.5) * size - 0.5, r)
+        return pd.DataFrame({"k": k, "bx": i, "by": j, "rate": rates.ravel(), "gain": pd.Series(gains).astype("Float64")})
 
     return per_pair(paired, kernel, "k long, bx int, by int, rate double, gain double")
 
