@@ -55,12 +55,12 @@ def forecast_points(held: Frames, t: int, x: np.ndarray, y: np.ndarray, model: M
         here = kernels.field_at(field, held.size(m), x, y)
         dbz, prob, v, speed, reliable = dbz + w / total * one, prob + w / total * share, v + w / total * here, speed + w / total * np.hypot(*here.T), reliable or bool(valid.any())
     p = held.previous(t)
-    gains = [kernels.translation_gain(held.grids[p], g, v[i], (t - p) / 60, x[i], y[i], GAIN_RADIUS) for i in range(len(x))]
+    gains = kernels.translation_gains(held.grids[p], g, v, (t - p) / 60, x, y, GAIN_RADIUS)
     first = lambda level: np.where((dbz >= level).any(1), (dbz >= level).argmax(1), -1)
     return pd.DataFrame({
         "dbz": list(dbz), "prob": list(prob), "arrival": first(model.threshold), "heavy_arrival": first(model.heavy), "mm": (rain_rate(dbz) / 60).sum(1),
         "kmh": np.hypot(*v.T) * model.km_per_pixel * 60, "heading": (np.degrees(np.arctan2(v[:, 0], -v[:, 1])) + 360) % 360,
-        "coherence": np.where(speed > 0, np.hypot(*v.T) / np.maximum(speed, 1e-300), 0.0), "gain": pd.array(gains, "Float64"), "reliable": reliable, "trended": rates[0] is not None,
+        "coherence": np.where(speed > 0, np.hypot(*v.T) / np.maximum(speed, 1e-300), 0.0), "gain": pd.Series(gains).astype("Float64"), "reliable": reliable, "trended": rates[0] is not None,
     })
 
 
@@ -74,9 +74,9 @@ def forecast(points: DataFrame, frames: DataFrame, model: Model = Model(), motio
 
     frames: region, t, w, h, at, dbz. Of each region only the newest frames go on, at most as many as the motion needs.
     """
-    last = frames.groupBy("region").agg(F.max("t").alias("_last"))
-    need = frames.join(last, "region").where(F.col("t") >= F.col("_last") - motion.pairs * motion.gap).select("region", "t", "w", "h", "at", "dbz")
-    newest = need.withColumn("_n", F.row_number().over(W.partitionBy("region").orderBy(F.desc("t")))).where(F.col("_n") <= motion.pairs + 1).drop("_n")
+    # Frames are met once, and of a region only the newest of each task are shuffled: what is compared with a rank is cut there.
+    few = frames.where("region IS NOT NULL").select("region", "t", "w", "h", "at", "dbz").withColumn("_n", F.row_number().over(W.partitionBy("region").orderBy(F.desc("t")))).where(F.col("_n") <= motion.pairs + 1)
+    newest = few.withColumn("_last", F.max("t").over(W.partitionBy("region"))).where(F.col("t") >= F.col("_last") - motion.pairs * motion.gap).drop("_n", "_last")
     known = F.col("region").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()
     asked = points.select("id", "region", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     n = asked.agg(F.count("*").alias("n"))
@@ -102,6 +102,9 @@ def forecast(points: DataFrame, frames: DataFrame, model: Model = Model(), motio
         return pd.concat([out, got], axis=1).assign(t=t)[["id", "region", *columns]]
 
     schema = f"id {kinds['id']}, region {kinds['region']}, {_SCHEMA}"
+    # A number of its own keeps the tasks apart: points are few bytes but much work, and would be joined by their bytes.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt, shown = (df.repartition(tasks, "region", "part") for df in (dealt, shown))
     met = dealt.groupBy("region", "part").cogroup(shown.groupBy("region", "part")).applyInPandas(run, schema)
     rest = asked.where(~known).select("id", "region", "x", "y")
     return met.unionByName(rest, allowMissingColumns=True)
