@@ -1,5 +1,7 @@
 """Work of frames at size: each thing once, many at a time, in tasks that are not joined."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +24,7 @@ def test_scenes_shuffle_squares_and_not_their_pixels(spark, capsys):
     plan = capsys.readouterr().out
     # Squares by their begin, then by frame; pixels and frames are grouped where they are.
     assert plan.split("(1) ")[0].count("Exchange") == 2
+    assert "hashpartitioning(region" in plan and not re.search(r"hashpartitioning\([^)]*\by#", plan)
 
 
 def test_squares_without_value_are_as_strong_as_can_be(spark, tmp_path):
