@@ -532,6 +532,65 @@ def test_line_dedup_grows_with_the_line(spark):
     assert {r["doc_id"]: r["_lines"]["kept"] for r in found} == {doc: sum((doc, i) in kept for i in range(3)) for doc, _ in rows}
 
 
+def test_spots_of_near_lines_are_alike(spark):
+    rng = random.Random(31)
+    pairs, near = [], []
+    for n in (62, 63, 90, 140, 260, 410, 700):
+        for k in range(60):
+            a = "".join(rng.choice("abcdefgh ") for _ in range(n))
+            a = a[: n // 3] + a[:20] + a[n // 3 + 20 :] if k % 3 == 0 else a  # a run that stands twice
+            b = edited(rng, a, n // 20 + 1) if k % 2 else "".join(rng.choice("abcdefgh ") for _ in range(n // 2)) + a[:14] + a[n // 2 + 14 :]
+            of, key, low, high, _ = line_dedup.placed_keys([a, b], np.zeros(line_dedup.BUCKETS, bool))
+            sizes = np.array([len(a), len(b)])
+            spot = line_dedup.spots(sizes[of], low, high, line_dedup.letter_counts([a, b])[of])
+            one, other = (dict(zip(key[of == i].tolist(), spot[of == i].tolist(), strict=True)) for i in (0, 1))
+            met = [(one[x], other[x]) for x in one.keys() & other.keys()]
+            pairs += met
+            if line_dedup.near(a, b):
+                near.append(any(line_dedup.spots_alike(*np.array(met).T)))
+    far = (1 << line_dedup.PLACE) - 1
+    odd = line_dedup.spots(np.array([far + 5, far + 900, far - 1]), np.array([3, far + 100, 3]), np.array([3, far + 100, 9]), np.zeros((3, line_dedup.COUNTS), np.uint8))
+    pairs += [(int(odd[0]), int(odd[1])), (int(odd[0]), int(odd[2])), (-1, -1), (-1, int(odd[2]))]
+    assert len(near) > 100 and all(near)
+    by_numpy = line_dedup.spots_alike(*np.array(pairs).T).tolist()
+    by_spark = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pairs)], "i long, x long, y long").select("i", line_dedup._alike("x", "y").alias("ok"))
+    assert [r["ok"] for r in by_spark.orderBy("i").collect()] == by_numpy and by_numpy[-4:] == [True, True, True, False] and 0 < sum(by_numpy) < len(pairs)
+
+
+def test_lines_that_share_a_passage_by_chance_are_not_paired(spark, monkeypatch):
+    rng = random.Random(32)
+    made = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = made(40)
+    lines = [made(rng.randrange(170, 230)) + passage + made(rng.randrange(170, 230)) for _ in range(150)]
+    rows, counted = {}, line_dedup.materialise
+
+    def counting(df, label, *more):
+        out = counted(df, label, *more)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialise", counting)
+    docs_ = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    assert line_dedup.graded_places(docs_).count() == 150
+    assert rows["line-open"] < 150 * 149 / 2 / 20
+
+
+def test_pipeline_stages_delete_what_earlier_ones_left(spark, tmp_path):
+    import corpus_pipeline
+
+    from pluvia.llm import common
+
+    first, second, third = (corpus_pipeline._in_turn(k, lambda spark, docs, sf_dir, k=k: common.materialise(docs, f"turn{k}")) for k in range(3))
+    mine = lambda: sorted(n for x in common.left() if (n := x.rsplit("/", 1)[1].rsplit("-", 1)[0]).startswith("turn"))
+    spark.range(5).write.parquet(str(tmp_path / "given"))
+    one = first(spark, spark.read.parquet(str(tmp_path / "given")), str(tmp_path))
+    two = second(spark, one, str(tmp_path))  # reads what the first left
+    assert mine() == ["turn0", "turn1"] and one.count() == 5
+    two.write.parquet(str(tmp_path / "two"))
+    third(spark, spark.read.parquet(str(tmp_path / "two")), str(tmp_path))
+    assert mine() == ["turn2"]
+
+
 def test_nothing_is_left_outside_the_shared_folder(spark):
     assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
 
