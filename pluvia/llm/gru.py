@@ -89,7 +89,10 @@ def _exact(p: Params) -> Params:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    out = np.negative(x)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
 
 
 def _states(p: Params, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool, gridded: bool = False):
@@ -133,31 +136,39 @@ def _output(p: Params, h: np.ndarray, target: np.ndarray, weight: np.ndarray | N
     side = side_in(p)
     inner = target < side * side
     cls = np.where(inner, target // side, target - side * side + side)
+    # Rows stand by class, so that each class's are one slice; they are put back at the end.
     order = np.argsort(cls.astype(np.int16), kind="stable")
-    cut = np.searchsorted(cls[order], np.arange(side + 1))
+    cls, word, h = cls[order], (target % side)[order], h[order]
+    cut = np.searchsorted(cls, np.arange(side + 1)).tolist()
+    slope = weight is not None
+    partial = slope and not weight.all()
+    weight = weight[order][:, None] if partial else None
+    rows = np.arange(len(h))
     x = h @ p["c"]
     x += p["cb"]
-    logp, dc = _choice(x, np.arange(len(h)), cls, weight is not None)
+    logp, dc = _choice(x, rows, cls, slope)
     grads, dh = None, None
-    if weight is not None:
-        dc *= weight[:, None]
-        grads = {"c": h.T @ dc, "cb": dc.sum(0), "d": np.zeros_like(p["d"]), "db": np.zeros_like(p["db"])}
+    if slope:
+        if partial:
+            dc *= weight
+        grads = {"c": h.T @ dc, "cb": np.ones(len(h), dc.dtype) @ dc, "d": np.zeros_like(p["d"]), "db": np.zeros_like(p["db"])}
         dh = dc @ p["c"].T
-    word = target % side
     for c in range(side):
-        at = order[cut[c] : cut[c + 1]]
-        if not len(at):
+        a, b = cut[c], cut[c + 1]
+        if a == b:
             continue
-        hc = h[at]
-        x = hc @ p["d"][c]
+        x = h[a:b] @ p["d"][c]
         x += p["db"][c]
-        got, dw = _choice(x, np.arange(len(at)), word[at], weight is not None)
-        logp[at] += got
-        if weight is not None:
-            dw *= weight[at][:, None]
-            grads["d"][c], grads["db"][c] = hc.T @ dw, dw.sum(0)
-            dh[at] += dw @ p["d"][c].T
-    return logp, grads, dh
+        got, dw = _choice(x, rows[: b - a], word[a:b], slope)
+        logp[a:b] += got
+        if slope:
+            if partial:
+                dw *= weight[a:b]
+            grads["d"][c], grads["db"][c] = h[a:b].T @ dw, np.ones(b - a, dw.dtype) @ dw
+            dh[a:b] += dw @ p["d"][c].T
+    back = np.empty_like(order)
+    back[order] = rows
+    return logp[back], grads, dh[back] if slope else None
 
 
 def log_probabilities(p: Params, docs: list[np.ndarray], end: int) -> np.ndarray:
@@ -225,23 +236,28 @@ class Trainer:
         total = max(1.0, float(weight.sum()))
         dh = dh.reshape(states.shape)
         da = np.empty((len(ids), ids.shape[1], 3 * n), np.float32)
-        du = np.zeros_like(p["u"])
+        dg = np.empty_like(da)
+        was, gn, r, z, new = (np.stack(x) for x in zip(*trace, strict=True))
+        # What the step's gradient is multiplied by: by itself for z and the new state, through that for r.
+        by_new = (1 - z) * (1 - new * new)
+        by_z = (was - new) * z * (1 - z)
+        by_r = gn * r * (1 - r)
         carry = np.zeros_like(last)
-        dg = np.empty((ids.shape[1], 3 * n), np.float32)
+        ut = np.ascontiguousarray(p["u"].T)
         starts = fresh.any(1)
         for t in range(len(ids) - 1, -1, -1):
-            was, gn, r, z, new = trace[t]
             d = dh[t] + carry
-            dn = d * (1 - z) * (1 - new * new)
-            da[t, :, :n] = dn * gn * r * (1 - r)
-            da[t, :, n : 2 * n] = d * (was - new) * z * (1 - z)
+            dn = d * by_new[t]
+            now = dg[t]
+            np.multiply(dn, by_r[t], out=now[:, :n])
+            np.multiply(d, by_z[t], out=now[:, n : 2 * n])
+            np.multiply(dn, r[t], out=now[:, 2 * n :])
             da[t, :, 2 * n :] = dn
-            dg[:, : 2 * n] = da[t, :, : 2 * n]
-            dg[:, 2 * n :] = dn * r
-            du += was.T @ dg
-            carry = d * z + dg @ p["u"].T
+            carry = d * z[t] + now @ ut
             if starts[t]:
                 carry = np.where(fresh[t][:, None], np.float32(0), carry)
+        da[:, :, : 2 * n] = dg[:, :, : 2 * n]
+        du = was.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
         grads["u"] = du
         order = np.argsort(ids.reshape(-1), kind="stable")
         seen, start = np.unique(ids.reshape(-1)[order], return_index=True)

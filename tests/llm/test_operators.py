@@ -163,6 +163,18 @@ def test_gru_is_a_distribution_and_its_gradients_are_right():
         assert abs((loss(hi) - loss(lo)) / 2e-2 / 30 - grads[k][at]) < 1e-5
 
 
+def test_gru_rows_without_weight_have_no_part_in_gradients():
+    rng = np.random.default_rng(5)
+    p = gru.initial(rng.integers(1, 100, 8 * 8 + gru.REST).astype(float))
+    h, target = rng.normal(0, 0.5, (200, gru.HIDDEN)).astype(np.float32), rng.integers(0, 8 * 8 + gru.REST, 200)
+    weight = (rng.random(200) < 0.7).astype(np.float32)
+    logp, grads, dh = gru._output(p, h, target, weight)
+    used = weight > 0
+    some, few, dsome = gru._output(p, h[used], target[used], np.ones(used.sum(), np.float32))
+    assert np.allclose(logp[used], some, atol=1e-5) and np.allclose(dh[used], dsome, atol=1e-5) and not dh[~used].any()
+    assert all(np.allclose(grads[k], few[k], atol=1e-4) for k in grads)
+
+
 def test_gru_learns_context_and_carries_state_through_long_texts():
     rng = np.random.default_rng(2)
     size, end = 18 * 18 + gru.REST, 323
