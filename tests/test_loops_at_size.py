@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from pluvia.operators import histories, issues, kernels
+from pluvia.operators import features, histories, issues, kernels
 from pluvia.plans import issues as plans
 
 
@@ -79,3 +79,37 @@ def test_the_issue_loop_runs_once_for_the_correlation(spark):
     assert got == {("a", "a"): (4, 1.0), ("a", "b"): (4, round(want, 9)), ("b", "b"): (4, 1.0)}
     assert runs.value == len(rows)
     assert issues.error_correlation(tallied.where("measure = 'none'"), ["a", "b"]).collect() == []
+
+
+def test_rain_of_many_scenes_is_followed_at_once(monkeypatch):
+    frames, calls, carry = moving(9), [], kernels.carried
+    held = histories.Frames(plans.MOTION)
+    for t, g in frames.items():
+        held.put(t, g)
+    scenes = [features.scene_of(held, t, 10.5, 20.5, 2) for t in list(frames)[2:]]
+    scenes.insert(1, features.bare(held, 600, 10.5, 20.5))
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(8, 16, (2, len(scenes), 6)).astype(float)
+    alone = [features.upstream([s], x[i : i + 1], y[i : i + 1], (10, 20, 30))[0] for i, s in enumerate(scenes)]
+    monkeypatch.setattr(kernels, "carried", lambda *a: calls.append(1) or carry(*a))
+    met = features.upstream(scenes, x, y, (10, 20, 30))
+    assert len(calls) == 1 and met[1] is None
+    for s, one, other, i in zip(scenes, alone, met, range(len(scenes)), strict=True):
+        assert one is None and other is None or all(np.array_equal(a, b) for a, b in zip(one, other, strict=True))
+        members, prob = rng.uniform(0, 60, (6, 3, 3)), rng.random((6, 3))
+        assert np.array_equal(features.rows(s, x[i], y[i], (10, 20, 30), members, prob), features.rows(s, x[i], y[i], (10, 20, 30), members, prob, other), equal_nan=True)
+
+
+def test_issues_wait_for_those_that_are_alike():
+    went = []
+    waiting = issues.Waiting(plans.ALL, lambda some: went.append(len(some)))
+    grid, x = np.zeros((24, 24)), np.arange(16.0)
+    one = issues.Issue(grid, x, x, np.ones((4, 4), bool), [grid] * 3, {str(i): None for i in range(7)})
+    for _ in range(40):
+        waiting.add(one)
+    waiting.add(issues.Issue(grid, x[:8], x[:8], np.ones((4, 2), bool), [grid] * 3, one.carriers))
+    waiting.settle()
+    assert went == [36, 4, 1]
+    large = np.zeros((768, 768))
+    waiting.add(issues.Issue(large, x, x, np.ones((4, 4), bool), [large] * 3, one.carriers))
+    assert went == [36, 4, 1, 1]
