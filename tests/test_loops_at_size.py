@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from pluvia.operators import features, histories, issues, kernels
+from pluvia.operators import boosting, features, histories, issues, kernels
 from pluvia.plans import issues as plans
 
 
@@ -113,3 +113,33 @@ def test_issues_wait_for_those_that_are_alike():
     large = np.zeros((768, 768))
     waiting.add(issues.Issue(large, x, x, np.ones((4, 4), bool), [large] * 3, one.carriers))
     assert went == [36, 4, 1, 1]
+
+
+class Columns(np.ndarray):
+    """Bins of which no single places are read."""
+
+    def __getitem__(self, at):
+        assert not (isinstance(at, tuple) and any(isinstance(a, np.ndarray) for a in at))
+        return super().__getitem__(at)
+
+
+def test_trees_compare_columns_and_no_row_walks_down():
+    rng = np.random.default_rng(8)
+    for depth in (0, 1, 3, 6):
+        tree = boosting.Tree()
+        level = [tree.leaf(0.5)]
+        for _ in range(depth):
+            some = [n for n in level if rng.random() < 0.8] or level[:1]
+            level = [c for n in some for c in tree.split(n, int(rng.integers(3)), int(rng.integers(63)), bool(rng.integers(2)))]
+        tree.value = rng.normal(size=len(tree.value)).tolist()
+        bins = rng.integers(0, boosting.SLOTS, (500, 3)).astype(np.uint8)
+        want = []
+        for row in bins:
+            at = 0
+            while tree.feature[at] >= 0:
+                b = row[tree.feature[at]]
+                at = tree.left[at] if (tree.default_left[at] if b == boosting.GONE else b <= tree.cut[at]) else tree.right[at]
+            want.append(at)
+        assert tree.reached(bins.view(Columns)).tolist() == want
+        assert tree.scores(bins.view(Columns)).tolist() == [tree.value[a] for a in want]
+        assert tree.scores(bins[:0]).shape == (0,)
